@@ -87,7 +87,9 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mean
     rows = occurrences(docs, id_col, text, mean)
     at = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "place", "begin")
     first = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(at).alias("first")).where("n > 1").select("key", "first")
-    later = rows.join(first, "key").where(at != F.col("first"))
+    # under another name the repeated keys get an exchange of their own, so that a hot key's join can be split
+    first = first.select(F.col("key").bitwiseXOR(F.lit(0).cast("long")).alias("repeated"), "first")
+    later = rows.join(first, F.col("key") == F.col("repeated")).where(at != F.col("first"))
     w = Window.partitionBy("doc_id", "place").orderBy("begin", "end")
     far = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     later = later.select("doc_id", "place", "begin", "end", "w0", "w1", F.col("first.doc_id").alias("kept_in"))
