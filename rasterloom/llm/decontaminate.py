@@ -14,7 +14,7 @@ those of the blocks before.
 from __future__ import annotations
 
 import hashlib
-from itertools import repeat
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -128,8 +128,8 @@ def _pass(df: DataFrame, block: Block) -> DataFrame:
                 doc = np.searchsorted(ends, at)
                 order = np.argsort(doc, kind="stable")
                 at, size, item, doc = at[order], size[order], item[order], doc[order]
-                cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else []
-                for s, e in zip(cuts, [*cuts[1:], len(doc)], strict=True):
+                cuts = [*np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]).tolist(), len(doc)] if len(doc) else []
+                for s, e in pairwise(cuts):
                     k = int(doc[s])
                     own = np.c_[at[s:e], at[s:e] + size[s:e]] - begins[k]
                     old = np.array(spans[lo + k] or [], np.int64).reshape(-1, 2)
