@@ -1,7 +1,7 @@
 """Subsequence string kernel support vector machine for toxicity.
 
 The kernel of two words is the sum, over the letter triples that both hold as
-subsequences, of the product of their weights; a triple that spans s letters weighs
+subsequences, of the product of their weights, over both words' lengths; a triple that spans s letters weighs
 DECAY**s, and spans over WINDOW count nothing. An insult with gaps or inserted signs
 so keeps most of its triples. Nyström: words are mapped to their kernels with a few
 landmark words, whitened, and a linear machine is trained on that. As the kernel is an
@@ -13,6 +13,8 @@ landmarks. A text scores as its worst word.
 from __future__ import annotations
 
 import re
+import sys
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +27,8 @@ WINDOW = 7
 DECAY = 0.7
 LETTERS = 32
 LONGEST = 24
-LANDMARKS = 160
-SAMPLE = 2500  # labelled rows of each class, at most
+LANDMARKS = 140
+SAMPLE = 2000  # labelled rows of each class, at most
 _SPACED = re.compile(r"(?<!\S)\S(?:\s\S){3,}(?!\S)")
 _PAIRS = [(a, b, DECAY ** (b + 1)) for b in range(2, WINDOW) for a in range(1, b)]
 
@@ -44,10 +46,11 @@ def words_of(text: str) -> set[str]:
 
 
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Letter codes 0-31 of all words together, and the number of the word at each place. a-z are 1-26, other letters share 27-31, signs and digits are 0."""
-    flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = np.where((flat >= 97) & (flat <= 122), flat - 96, np.where(flat >= 128, 27 + flat % 5, 0)).astype(np.int32)
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    """Letter codes 0-31 of all words together, and the number of the word at each place. a-z are 1-26, other letters share 27-30, signs and digits are 0, and 31 begins every word."""
+    flat = np.frombuffer("".join("\0" + w for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = np.where((flat >= 97) & (flat <= 122), flat - 96, np.where(flat >= 128, 27 + flat % 4, 0)).astype(np.int32)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    codes[np.cumsum(sizes) - sizes] = 31
     return codes, np.repeat(np.arange(len(words)), sizes)
 
 
@@ -65,20 +68,42 @@ def triples(words: list[str]):
         yield own[same], (x * LETTERS + y) * LETTERS + z, weight
 
 
+def lengths(words: list[str]) -> np.ndarray:
+    """The length of each word's vector of triple weights. Equal triples within a word, which are rare, count apart."""
+    out = np.full(len(words), 1e-9)
+    for own, _, weight in triples(words):
+        out += np.bincount(own, minlength=len(words)) * weight**2
+    return np.sqrt(out)
+
+
 def features(words: list[str]) -> np.ndarray:
-    """The triple weights of a few words, one row each."""
+    """The triple weights of a few words at unit length, one row each."""
     out = np.zeros((len(words), LETTERS**3), np.float32)
     for own, code, weight in triples(words):
         np.add.at(out, (own, code), weight)
+    return out / lengths(words)[:, None].astype(np.float32)
+
+
+def kernels(words: list[str], marks: np.ndarray) -> np.ndarray:
+    """The kernels of words with the landmarks whose features are given, by looking up each word's own triples only."""
+    by_triple = np.ascontiguousarray(marks.T)
+    out = np.zeros((len(words), len(marks)))
+    for i in range(0, len(words), 1000):
+        part = words[i : i + 1000]
+        for own, code, weight in triples(part):
+            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            if len(own):
+                out[i + own[first]] += weight * np.add.reduceat(by_triple[code], first)
+        out[i : i + 1000] /= lengths(part)[:, None]
     return out
 
 
 def folded(words: list[str], table: np.ndarray) -> np.ndarray:
-    """The sum of ``table`` over each word's weighted triples: the machine's value, but for its offset."""
+    """The sum of ``table`` over each word's weighted triples, over its length: the machine's value, but for its offset."""
     out = np.zeros(len(words))
     for own, code, weight in triples(words):
         out += np.bincount(own, weight * table[code], len(words))
-    return out
+    return out / lengths(words)
 
 
 class Machine:
@@ -95,11 +120,11 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.slope * worst + self.offset, -40, 40)))
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0, steps: int = 300) -> tuple[np.ndarray, float]:
+def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 3000.0, steps: int = 500) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss, by Nesterov's gradient steps. y is -1 or 1."""
     xb = np.c_[x, np.ones(len(x))]
     w = v = np.zeros(xb.shape[1])
-    step = 1 / (1 + 2 * c * np.linalg.norm(xb * np.sqrt(weight)[:, None] / np.sqrt(weight.sum()), 2) ** 2)
+    step = 1 / (1 + 2 * c * np.linalg.eigvalsh(xb.T @ (xb * weight[:, None]))[-1] / weight.sum())
     for i in range(steps):
         slack = np.maximum(0, 1 - y * (xb @ v))
         grad = np.r_[v[:-1], 0] - 2 * c * (xb.T @ (weight * y * slack)) / weight.sum()
@@ -108,7 +133,7 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0, step
     return w[:-1], float(w[-1])
 
 
-def train(bags: list[tuple[set[str], int]], landmarks: int = LANDMARKS, rounds: int = 3) -> Machine:
+def train(bags: list[tuple[set[str], int]], landmarks: int = LANDMARKS, rounds: int = 2) -> Machine:
     """Fit on (words, label) of labelled texts: a toxic text's worst word is its witness, all words of others are harmless.
 
     With one class only, or none, every score is the share of that class (0.5 for none).
@@ -127,34 +152,30 @@ def train(bags: list[tuple[set[str], int]], landmarks: int = LANDMARKS, rounds:
     toxic = sorted((w for w, c in seen.items() if c[1] * n > 4 * c[0] * p), key=lambda w: (-lift(w), w))
     common = sorted((w for w, c in seen.items() if c[0]), key=lambda w: (-seen[w][0], w))
     marks = toxic[: landmarks * 3 // 4] + common[: landmarks // 4]
-    z = features(marks)
-    z /= np.maximum(np.linalg.norm(z, axis=1), 1e-6)[:, None]
-    vals, vecs = np.linalg.eigh(z.astype(float) @ z.T)
-    root = vecs / np.sqrt(np.maximum(vals, 1e-3))  # whitens the kernels with the landmarks
-    basis = z.T.astype(float) @ root  # triple weights of each direction
-
-    def mapped(words: list[str]) -> np.ndarray:
-        out = np.zeros((len(words), basis.shape[1]))
-        for i in range(0, len(words), 512):
-            out[i : i + 512] = features(words[i : i + 512]) @ basis
-        return out
-
     rank = {w: lift(w) for w in toxic}
     harmless = sorted(w for w, c in seen.items() if c[0])
     witness = [max(sorted(b), key=lambda w: rank.get(w, 0.0), default="") for b in pos]
-    negatives = set(harmless[:: max(1, len(harmless) // 3000)]) | set(common[:500])
+    negatives = set(harmless[:: max(1, len(harmless) // 4000)]) | set(common[:500])
     for _ in range(rounds):
+        z = features(marks)
+        vals, vecs = np.linalg.eigh((z @ z.T).astype(float))
+        root = vecs / np.sqrt(np.maximum(vals, 1e-3))  # whitens the kernels with the landmarks
         good = sorted({w for w in witness if w})
         bad = sorted(negatives - set(good))
-        x, y = mapped(good + bad), np.r_[np.ones(len(good)), -np.ones(len(bad))]
-        weight = np.r_[np.full(len(good), 0.5 / max(1, len(good))), np.full(len(bad), 0.5 / max(1, len(bad)))] * 1000
-        w, offset = _svm(x, y, weight)
-        fold = basis @ w
+        x, y = kernels(good + bad, z) @ root, np.r_[np.ones(len(good)), -np.ones(len(bad))]
+        times = Counter(witness)
+        share = np.array([times[w] ** 0.5 for w in good])
+        weight = np.r_[share / max(1e-9, share.sum()), np.full(len(bad), 1 / max(1, len(bad)))]
+        w, _ = _svm(x, y, weight)
+        fold = (z.T @ (root @ w).astype(np.float32)).astype(float)
         value = folded(harmless, fold)
-        negatives |= {harmless[i] for i in np.argsort(-value)[:500]}  # the hardest
+        hardest = [harmless[i] for i in np.argsort(-value, kind="stable")]
+        negatives |= set(hardest[:1500])
+        marks += [h for h in hardest[:200] if h not in set(marks)][: landmarks // 2]  # the machine needs directions to tell them apart
         every = sorted(set().union(*pos))
         of = dict(zip(every, folded(every, fold), strict=True))
-        witness = [max(sorted(b), key=of.__getitem__, default="") for b in pos]
+        # only words that are commoner in toxic texts can be witnesses: others would drag their like with them
+        witness = [max(sorted(x for x in b if x in rank), key=of.__getitem__, default="") for b in pos]
     raw = Machine(fold, 1.0, 0.0)
     worst = np.array([max(max((of[w] for w in b), default=0.0), 0.0) for b in pos])
     calm_of = dict(zip(harmless, value, strict=True))
@@ -199,7 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     kind = rows.schema["doc_id"].dataType.simpleString()
     got = rows.mapInArrow(run, f"doc_id {kind}, words string, y int").collect()
     got.sort(key=lambda r: (r.doc_id, r.words))
-    return train([(set(r.words.split()), r.y) for r in got])
+    return train([(set(map(sys.intern, r.words.split())), r.y) for r in got])
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text: str = "text") -> DataFrame:
