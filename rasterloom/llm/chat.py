@@ -15,12 +15,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-OPEN, CLOSE, END = "<turn ", ">", "</turn>\n"
+OPEN, CLOSE, MARK = "<turn ", ">", "</turn>"
+END = MARK + "\n"
 LEARNT = "assistant"
 
 
 def escape(text: Column) -> Column:
-    return F.regexp_replace(text, r"<(\\*)/turn>", r"<$1\\\\/turn>")
+    return F.regexp_replace(text, r"<(\\*)/turn>", r"<$1\\/turn>")
 
 
 def unescape(text: Column) -> Column:
@@ -54,7 +55,7 @@ def render(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     rows = turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     head = F.concat(F.lit(OPEN), _role(F.col("role")), F.lit(CLOSE))
     plain = F.concat(head, F.col("text"))
-    first = F.get(F.split(F.concat(plain, F.lit(END)), END), F.lit(0))
+    first = F.get(F.split(F.concat(plain, F.lit(MARK)), MARK), F.lit(0))
     got = parse_turn(first)
     rows = rows.withColumn("conflict", (got["role"] != F.col("role")) | (got["text"] != F.col("text")))
     rows = rows.withColumn("body", F.when(F.col("conflict"), escape(F.col("text"))).otherwise(F.col("text")))
