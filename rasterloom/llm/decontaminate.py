@@ -30,6 +30,9 @@ _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122
 _GAP = b" | "  # between documents: no word has this sign
 
 
+_MATCHES = pa.list_(pa.struct([("item", pa.string()), ("begin", pa.int64()), ("item_begin", pa.int64()), ("words", pa.int64())]))
+
+
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).split()
 
@@ -39,7 +42,7 @@ class Block:
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
         self.window, self.number = window, {_GAP.strip(): -1}
-        windows, owner = [], []
+        windows, owner, place = [], [], []
         self.items: list[str] = []
         for name, words in items:
             if not words:
@@ -48,30 +51,31 @@ class Block:
             for i in range(max(1, len(ids) - window + 1)):
                 windows.append(ids[i : i + window] + [0] * (window - len(ids)))
                 owner.append(len(self.items))
+                place.append(i)
             self.items.append(name)
         self.windows = np.array(windows, np.int32).reshape(-1, window)
-        self.owner = np.array(owner, np.int64)
+        self.owner, self.place = np.array(owner, np.int64), np.array(place, np.int64)
         self.sizes = (self.windows > 0).sum(1)
         self.least = int(self.sizes.min()) if len(owner) else 0
 
-    def find(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(begin, size, item) of every occurrence of a window in the words ``ids``; number 0 or less is no benchmark word."""
+    def find(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(begin, size, item, place in the item) of every occurrence of a window in the words ``ids``; number 0 or less is no benchmark word."""
         none = np.zeros(0, np.int64)
         if not len(self.owner) or not len(ids):
-            return none, none, none
+            return none, none, none, none
         good = np.r_[ids > 0, False]
         stop = np.flatnonzero(~good)
         ahead = stop[np.searchsorted(stop, np.arange(len(ids)))] - np.arange(len(ids))  # benchmark words from here on
         starts = np.flatnonzero((ahead >= self.least) & (ids > 0))
         if not len(starts):
-            return none, none, none
+            return none, none, none, none
         padded = np.r_[ids, np.zeros(self.window, ids.dtype)]
         rows = padded[starts[:, None] + np.arange(self.window)].astype(np.int32)
         rows[np.arange(self.window) >= ahead[starts][:, None]] = 0
         keys = _sortable(rows)
         array = np.argsort(keys, kind="stable")  # the suffix array
         keys, starts = keys[array], starts[array]
-        begin, size, item = [none], [none], [none]
+        begin, size, item, place = [none], [none], [none], [none]
         low = np.searchsorted(keys, _sortable(self.windows), "left")
         high = np.searchsorted(keys, _sortable(self._after()), "left")
         for i in np.flatnonzero(high > low).tolist():
@@ -79,7 +83,8 @@ class Block:
             begin.append(at)
             size.append(np.full(len(at), self.sizes[i]))
             item.append(np.full(len(at), self.owner[i]))
-        return np.concatenate(begin), np.concatenate(size), np.concatenate(item)
+            place.append(np.full(len(at), self.place[i]))
+        return np.concatenate(begin), np.concatenate(size), np.concatenate(item), np.concatenate(place)
 
     def _after(self) -> np.ndarray:
         """For each window the least row of words above all suffixes that begin with it."""
@@ -105,8 +110,24 @@ def _merge(spans: np.ndarray) -> np.ndarray:
     return np.c_[spans[new, 0], far[np.r_[np.flatnonzero(new)[1:] - 1, len(spans) - 1]]]
 
 
+def _longest(at: np.ndarray, size: np.ndarray, item: np.ndarray, place: np.ndarray, doc: np.ndarray) -> list[np.ndarray]:
+    """(document, item, begin, place in the item, words) of the longest match of each document with each item, the first of equals.
+
+    Neighbouring suffixes of an item that are found at neighbouring places of a document are one longer match.
+    """
+    order = np.lexsort((at, at - place, item))
+    at, size, item, place, doc = (x[order] for x in (at, size, item, place, doc))
+    first = np.flatnonzero(np.r_[True, (item[1:] != item[:-1]) | (at[1:] != at[:-1] + 1) | (place[1:] != place[:-1] + 1)]) if len(at) else np.zeros(0, np.int64)
+    words = np.diff(np.r_[first, len(at)]) - 1 + size[first]
+    at, item, place, doc = (x[first] for x in (at, item, place, doc))
+    order = np.lexsort((place, at, -words, item, doc))
+    at, item, place, doc, words = (x[order] for x in (at, item, place, doc, words))
+    best = np.r_[True, (item[1:] != item[:-1]) | (doc[1:] != doc[:-1])] if len(at) else np.zeros(0, bool)
+    return [x[best] for x in (doc, item, at, place, words)]
+
+
 def _pass(df: DataFrame, block: Block) -> DataFrame:
-    """Add one block's findings: n_words, spans (flat begin and end of hit words, merged), longest (words), items."""
+    """Add one block's findings: n_words, spans (flat begin and end of hit words, merged), matches (the longest with each item), items."""
     shared = df.sparkSession.sparkContext.broadcast(vars(block))  # at most BLOCK_WORDS words and one item more
     names = [x.name for x in df.schema.fields]
 
@@ -116,6 +137,7 @@ def _pass(df: DataFrame, block: Block) -> DataFrame:
         for b in batches:
             texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in b.column(names.index("__text"))]
             spans, items = b.column(names.index("__spans")).to_pylist(), b.column(names.index("__items")).to_pylist()
+            matches = [m or [] for m in b.column(names.index("__matches")).to_pylist()]
             counts: list[int] = []
             for lo, hi in slices(texts):
                 words = _GAP.join(t.translate(_TABLE) for t in [*texts[lo:hi], b""]).split()
@@ -124,8 +146,10 @@ def _pass(df: DataFrame, block: Block) -> DataFrame:
                 ends = np.flatnonzero(ids < 0)
                 begins = np.r_[0, ends[:-1] + 1]
                 counts += (ends - begins).tolist()
-                at, size, item = block.find(ids)
+                at, size, item, place = block.find(ids)
                 doc = np.searchsorted(ends, at)
+                for k, i, begin, begins_at, n in zip(*(x.tolist() for x in _longest(at, size, item, place, doc)), strict=True):
+                    matches[lo + k].append({"item": block.items[i], "begin": begin - int(begins[k]), "item_begin": begins_at, "words": n})
                 order = np.argsort(doc, kind="stable")
                 at, size, item, doc = at[order], size[order], item[order], doc[order]
                 cuts = [*np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]).tolist(), len(doc)] if len(doc) else []
@@ -136,7 +160,7 @@ def _pass(df: DataFrame, block: Block) -> DataFrame:
                     spans[lo + k] = _merge(np.r_[old, own]).ravel().tolist()
                     items[lo + k] = sorted({*(items[lo + k] or []), *(block.items[i] for i in np.unique(item[s:e]))})
             cols = {n: b.column(i) for i, n in enumerate(names)}
-            cols |= {"__n_words": pa.array(counts, pa.int64()), "__spans": pa.array(spans, pa.list_(pa.int64())), "__items": pa.array(items, pa.list_(pa.string()))}
+            cols |= {"__n_words": pa.array(counts, pa.int64()), "__spans": pa.array(spans, pa.list_(pa.int64())), "__items": pa.array(items, pa.list_(pa.string())), "__matches": pa.array(matches, _MATCHES)}
             yield pa.record_batch(list(cols.values()), list(cols))
 
     return df.mapInArrow(run, df.schema)
@@ -145,14 +169,15 @@ def _pass(df: DataFrame, block: Block) -> DataFrame:
 def find(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, keep: list[str] | None = None) -> DataFrame:
     """What each row of ``docs`` shares with the benchmark.
 
-    Returns doc_id (or the columns ``keep``), n_words, n_hit, n_items, items_sha256, contaminated, spans (begin and
-    end of every run of hit words, in words), items. A row is contaminated if it has hits and they are
+    Returns doc_id (or the columns ``keep``), n_words, n_hit, n_items, items_sha256, contaminated, longest (words
+    of the longest verbatim match, 0 without one), spans (begin and end of every run of hit words, in words), items, and
+    matches (for each item the longest verbatim match: its place in document and item, and its words). A row is contaminated if it has hits and they are
     a twentieth of its words or more. Null and empty texts have no words and no hits, as have items without
     words; an item without an id is named by the empty string; repeated items count once, repeated rows stay;
     an empty benchmark leaves every row clean. Clashing names do no harm: internal columns begin with two underscores.
     """
     keep = keep or [id_col]
-    df = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).cast("binary").alias("__text"), F.lit(0).cast("long").alias("__n_words"), F.lit(None).cast("array<bigint>").alias("__spans"), F.lit(None).cast("array<string>").alias("__items"))
+    df = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).cast("binary").alias("__text"), F.lit(0).cast("long").alias("__n_words"), F.lit(None).cast("array<bigint>").alias("__spans"), F.lit(None).cast("array<string>").alias("__items"), F.lit(None).cast("array<struct<item:string,begin:bigint,item_begin:bigint,words:bigint>>").alias("__matches"))
     held, size, any_ = [], 0, False
     for row in bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.coalesce(F.col("text"), F.lit("")).alias("t")).distinct().orderBy("i", "t").toLocalIterator():
         words = words_of(row.t.encode("utf-8", "surrogatepass"))
@@ -171,8 +196,10 @@ def find(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text: str =
         F.size("__items").cast("long").alias("n_items"),
         F.sha2(F.array_join("__items", ",").cast("binary"), 256).alias("items_sha256"),
         ((F.col("__hit") > 0) & (20 * F.col("__hit") >= F.col("__n_words"))).alias("contaminated"),
+        F.coalesce(F.array_max(F.transform("__matches", lambda m: m["words"])), F.lit(0).cast("long")).alias("longest"),
         F.coalesce("__spans", F.array().cast("array<bigint>")).alias("spans"),
         F.col("__items").alias("items"),
+        F.col("__matches").alias("matches"),
     )
 
 

@@ -41,7 +41,7 @@ def op6_chat_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans", "items")
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans", "items", "matches")
 
 
 def op8_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -214,12 +214,12 @@ def test_decontamination(spark, docs, none):
     items = [(1, COPY), (2, "a B c"), (2, "a B c"), (3, None), (4, "!!"), (None, "word1 word2 word3 word4 word5 word6 word7 word8 word9 word10 word11 word12 word13 word14 word15"), (10, "grüße é"), (5, "x y z " * 300)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = key(brute.decontaminate(ROWS, items))
-    out = decontaminate.find(docs, bench).drop("spans", "items")
+    out = decontaminate.find(docs, bench).drop("spans", "items", "longest", "matches")
     assert rows(out) == want
     block = decontaminate.BLOCK_WORDS
     decontaminate.BLOCK_WORDS = 20  # many blocks
     try:
-        assert rows(decontaminate.find(docs, bench).drop("spans", "items")) == want
+        assert rows(decontaminate.find(docs, bench).drop("spans", "items", "longest", "matches")) == want
     finally:
         decontaminate.BLOCK_WORDS = block
     assert decontaminate.find(none, bench).count() == 0
@@ -228,6 +228,38 @@ def test_decontamination(spark, docs, none):
     assert kept.columns == docs.columns and key(r.doc_id for r in kept.collect()) == key(d for d, *_, c in want if not c)
 
 
+def test_longest_matches(spark):
+    rng = random.Random(3)
+    words = lambda n: [rng.choice("a b c d".split()) for _ in range(n)]
+    items = [(str(i), words(rng.choice([4, 13, 40]))) for i in range(12)]
+    texts = [(k, words(30) + items[k % 12][1][: 10 + k] + words(5)) for k in range(30)] + [(98, []), (99, ["z"] * 40)]
+    want = {}
+    for d, t in texts:
+        for i, w in items:
+            least, best = min(len(w), 13), 0
+            for a in range(len(t)):
+                for b in range(len(w)):
+                    n = 0
+                    while a + n < len(t) and b + n < len(w) and t[a + n] == w[b + n]:
+                        n += 1
+                    best = max(best, n)
+            if best >= least:
+                want[d, i] = best
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in texts], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id string, text string")
+    for block in (20, decontaminate.BLOCK_WORDS):
+        whole, decontaminate.BLOCK_WORDS = decontaminate.BLOCK_WORDS, block
+        try:
+            out = decontaminate.find(docs, bench).collect()
+        finally:
+            decontaminate.BLOCK_WORDS = whole
+        assert {(r.doc_id, m.item): m.words for r in out for m in r.matches or []} == want
+        assert {r.doc_id: r.longest for r in out} == {d: max((n for (e, _), n in want.items() if e == d), default=0) for d, _ in texts}
+        for r in out:
+            for m in r.matches or []:
+                assert dict(texts)[r.doc_id][m.begin : m.begin + m.words] == dict(items)[m.item][m.item_begin : m.item_begin + m.words]
+
+
 def test_pii(docs, none):
     out = pii.summary(pii.detect(docs)).collect()
     want = key((d, hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in brute.base_pii(t)).encode()).hexdigest()) for d, t in ROWS)
