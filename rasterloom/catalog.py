@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from .functions import colour as curves
 from .functions import kernels, numbers
 from .operators import animation, colour, dense, geometry, palette, planar, resample
-from .plans import requests, settings, views
+from .plans import pipeline, requests, settings, views
 from .plans.views import sql
+from .sources import images, synthetic
 from .sources import sniff as sniffing
-from .sources import synthetic
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -630,3 +630,62 @@ def _(spark, d):
  v AS (SELECT y, x, CASE WHEN abs(x / 39::DOUBLE - y / 29::DOUBLE) <= 1.5::DOUBLE / 29 OR abs(x / 39::DOUBLE + y / 29::DOUBLE - 1) <= 1.5::DOUBLE / 29 THEN 255 ELSE 211 END AS v FROM g) SELECT y, x, v AS b, v AS g, v AS r FROM v""")
 def _(spark, d):
     return synthetic.broken_image(spark, 40, 30)
+
+
+# containers ----------------------------------------------------------------------------
+
+
+def _stored(px: DataFrame, kind: str, **options) -> DataFrame:
+    """(image_id, kind, content): each image in a container, its kind as sniffed from the bytes, or as told where bytes tell nothing."""
+    made = images.encode(px.withColumn("image_id", F.col("image_id").cast("long")), kind, **options)
+    return made.select("image_id", F.coalesce(sniffing.sniff(F.col("content")), F.lit(kind)).alias("kind"), "content")
+
+
+def _read_back(stored: DataFrame) -> DataFrame:
+    return images.to_pixels(images.decode(stored))
+
+
+def _round_trip(kind: str):
+    return lambda spark, d: _read_back(_stored(views.px_rgb(spark, d), kind)).select("image_id", "y", "x", "b", "g", "r")
+
+
+for _k in ("png", "bmp", "tga", "tiff"):
+    query(f"{_k}_round_trip", sql("rgb", "SELECT image_id, y, x, b, g, r FROM rgb"))(_round_trip(_k))
+
+
+@query("gif_round_trip", sql("pb", "SELECT vec_id AS image_id, y, x, v AS b, v AS g, v AS r FROM pb"))
+def _(spark, d):
+    px = views.px_byte(spark, d).select(F.col("vec_id").alias("image_id"), "y", "x", F.col("v").alias("b"))
+    return _read_back(_stored(px, "gif")).select("image_id", "y", "x", "b", "g", "r")
+
+
+@query("jpeg_round_trip", sql("rgb", "SELECT image_id, count(*) AS pixels, true AS near FROM rgb GROUP BY image_id"))
+def _(spark, d):
+    """Quality 100 without subsampling: every sample comes back within 3."""
+    px = views.px_rgb(spark, d)
+    back = _read_back(_stored(px, "jpeg", quality=100, subsample=444)).select("image_id", "y", "x", *[F.col(c).alias(f"{c}_") for c in "bgr"])
+    off = F.greatest(*[F.abs(F.col(c) - F.col(f"{c}_")) for c in "bgr"])
+    return px.join(back, ["image_id", "y", "x"]).groupBy("image_id").agg(F.count("*").alias("pixels"), (F.max(off) <= 3).alias("near"))
+
+
+@query("image_info", sql("rgb", """, i AS (SELECT DISTINCT image_id FROM rgb)
+SELECT image_id, k AS kind, 0 AS frame_no, 8 AS width, 8 AS height, false AS has_alpha, 1 AS orientation FROM i, (VALUES ('png'), ('bmp'), ('jpeg')) t(k)"""))
+def _(spark, d):
+    px = views.px_rgb(spark, d)
+    stored = _stored(px, "png").union(_stored(px, "bmp")).union(_stored(px, "jpeg"))
+    info = images.file_info(stored.withColumn("path", F.col("image_id").cast("string")))
+    return info.select(F.col("path").cast("long").alias("image_id"), "kind", "frame_no", "width", "height", "has_alpha", "orientation")
+
+
+_ROUND = "least(greatest(floor(sum(h.v * k.w) + 0.5::DOUBLE), 0), 255)::INT AS v"
+
+
+@query("thumbnail", sql("pb", f"""{_kernel_sql(8, 4, *_VALUES["catmullrom"])}, h AS (SELECT vec_id, y, k.o AS x, sum(v * k.w) AS v FROM pb p JOIN k ON k.i = p.x WHERE true GROUP BY ALL)
+SELECT vec_id AS image_id, k.o AS y, x, {_ROUND} FROM h JOIN k ON k.i = h.y GROUP BY ALL"""))
+def _(spark, d):
+    """The whole way of a file: stored, sniffed, decoded, planned, scaled, rounded, stored again, and read."""
+    source = _stored(views.px_byte(spark, d).select(F.col("vec_id").alias("image_id"), "y", "x", F.col("v").alias("b")), "png")
+    px = _read_back(source).select("image_id", "y", "x", F.col("b").cast("double").alias("b"))
+    small = pipeline.plan(px, ["image_id"], (8, 8), {"inner_w": 4, "inner_h": 4, "filter": "catmullrom"}, ["b"]).pixels
+    small = small.withColumn("b", F.least(F.greatest(F.floor(F.col("b") + 0.5), F.lit(0)), F.lit(255)).cast("int"))
+    return _read_back(_stored(small, "png")).select("image_id", "y", "x", F.col("b").alias("v"))

@@ -88,7 +88,7 @@ def gaussian_blur(px: DataFrame, keys: list[str], size: tuple[int, int], radius:
 
 
 def unsharp(px: DataFrame, keys: list[str], size: tuple[int, int], amount: float, radius: float, threshold: int = 0, values: list[str] | None = None) -> DataFrame:
-    """Add (luma - blurred luma) * amount% to each channel where the difference is over the threshold (0: everywhere). Values are bytes."""
+    """Add (luma - blurred luma) * amount% to each channel where the difference is over the threshold (0: everywhere). Values are bytes; alpha stays as it is."""
     values = values or ["v"]
     luma = F.col(values[0]) if len(values) == 1 else grey()
     base = px.withColumn("_luma", luma.cast("double"))
@@ -96,7 +96,7 @@ def unsharp(px: DataFrame, keys: list[str], size: tuple[int, int], amount: float
     both = base.join(soft, [*keys, "y", "x"])
     dif = F.col("_luma") - F.col("_soft")
     gain = F.when(F.abs(dif) > threshold, dif * (amount / 100)).otherwise(0.0) if threshold else dif * (amount / 100)
-    return both.select(*keys, "y", "x", *[F.least(F.greatest(F.col(v) + gain, F.lit(0.0)), F.lit(255.0)).alias(v) for v in values])
+    return both.select(*keys, "y", "x", *[F.col(v) if v == "a" else F.least(F.greatest(F.col(v) + gain, F.lit(0.0)), F.lit(255.0)).alias(v) for v in values])
 
 
 def sum_columns(columns):

@@ -74,7 +74,7 @@ def plan(px: DataFrame, keys: list[str], size: tuple[int, int], settings: dict,
         m = settings["matte"]
         p.add("matte", lambda df: colour.matte(df, m & 255, m >> 8 & 255, m >> 16 & 255, m >> 24 & 255))
     if settings.get("unsharp_amount"):
-        p.add("unsharp", lambda df: resample.unsharp(df, keys, target, settings["unsharp_amount"], settings["unsharp_radius"], settings["unsharp_threshold"], [v for v in values if v != "a"] if "a" not in values else values))
+        p.add("unsharp", lambda df: resample.unsharp(df, keys, target, settings["unsharp_amount"], settings["unsharp_radius"], settings["unsharp_threshold"], values))
     o = settings.get("orientation", 1)
     if o != 1:
         p.add("orient", lambda df: geometry.orient(df, o, *target))

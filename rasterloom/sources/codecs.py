@@ -1,8 +1,7 @@
-"""Containers in plain Python and numpy: PNG/APNG, GIF, BMP, TGA, TIFF; and a registry for more.
+"""Containers in plain Python and numpy: PNG/APNG, GIF, BMP, TGA, TIFF, JPEG; and a registry for more.
 
 decode(bytes) gives frames, each (height, width, channels) bytes in BGR(A) or grey order;
-encode(frame) gives bytes. JPEG is read through Spark's image source; formats whose
-libraries are not at hand are registered and raise.
+encode(frame) gives bytes. Formats whose libraries are not at hand are registered and raise.
 """
 
 from __future__ import annotations
@@ -14,6 +13,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
+from . import jpeg
+
 
 @dataclass
 class Frame:
@@ -473,6 +474,15 @@ def encode_tiff(px: np.ndarray) -> bytes:
 # Registry ------------------------------------------------------------------------------
 
 
+def decode_jpeg(data: bytes) -> Image:
+    """Sequential files only; progressive ones raise Unsupported and can be read through Spark's image source."""
+    try:
+        px, icc, exif = jpeg.decode(data)
+    except jpeg.NotSequential as e:
+        raise Unsupported(f"JPEG: {e}") from e
+    return Image("image/jpeg", [Frame(px)], px.shape[1], px.shape[0], icc=icc, exif=exif)
+
+
 def _absent(name: str) -> Callable:
     def run(*_, **__):
         raise Unsupported(f"{name}: no library for it is at hand")
@@ -480,8 +490,8 @@ def _absent(name: str) -> Callable:
     return run
 
 
-DECODERS: dict[str, Callable[[bytes], Image]] = {"png": decode_png, "gif": decode_gif, "bmp": decode_bmp, "tga": decode_tga, "tiff": decode_tiff, **{k: _absent(k) for k in ("webp", "jxl", "heif", "avif")}}
-ENCODERS: dict[str, Callable] = {"png": encode_png, "gif": encode_gif, "bmp": encode_bmp, "tga": encode_tga, "tiff": encode_tiff, **{k: _absent(k) for k in ("webp", "jxl")}}
+DECODERS: dict[str, Callable[[bytes], Image]] = {"png": decode_png, "gif": decode_gif, "bmp": decode_bmp, "tga": decode_tga, "tiff": decode_tiff, "jpeg": decode_jpeg, **{k: _absent(k) for k in ("webp", "jxl", "heif", "avif")}}
+ENCODERS: dict[str, Callable] = {"png": encode_png, "gif": encode_gif, "bmp": encode_bmp, "tga": encode_tga, "tiff": encode_tiff, "jpeg": jpeg.encode, **{k: _absent(k) for k in ("webp", "jxl")}}
 
 
 def register(name: str, decode: Callable | None = None, encode: Callable | None = None) -> None:

@@ -110,8 +110,11 @@ def to_pixels(strips: DataFrame) -> DataFrame:
     return cells.select("image_id", "frame_no", "plane", (F.col("y0") + F.floor(F.col("cell") / F.col("width")).cast("int")).alias("y"), (F.col("cell") % F.col("width")).alias("x"), byte(0).alias("b"), more(1).alias("g"), more(2).alias("r"), more(3).alias("a"))
 
 
-def encode(frames: DataFrame, kind: str = "png") -> DataFrame:
-    """Pixels (image_id, y, x, b[, g, r[, a]]) to (image_id, content): one image at a time in memory."""
+def encode(frames: DataFrame, kind: str = "png", **options) -> DataFrame:
+    """Pixels (image_id, y, x, b[, g, r[, a]]) to (image_id, content): one image at a time in memory. options go to the encoder.
+
+    GIF takes b as the index into ``palette`` (rows of BGR), which is a grey ramp unless given.
+    """
     channels = [c for c in "bgra" if c in frames.columns]
 
     def run(key, pdf):
@@ -120,11 +123,18 @@ def encode(frames: DataFrame, kind: str = "png") -> DataFrame:
         h, w = int(pdf.y.max()) + 1, int(pdf.x.max()) + 1
         px = np.zeros((h, w, len(channels)), np.uint8)
         px[pdf.y, pdf.x] = pdf[channels].to_numpy()
-        return pd.DataFrame({"image_id": [key[0]], "content": [codecs.ENCODERS[kind](px)]})
+        return pd.DataFrame({"image_id": [key[0]], "content": [_written(px, kind, options)]})
 
     return frames.groupBy("image_id").applyInPandas(run, "image_id long, content binary")
 
 
+def _written(px: np.ndarray, kind: str, options: dict) -> bytes:
+    if kind != "gif":
+        return codecs.ENCODERS[kind](px, **options)
+    ramp = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, axis=1)
+    return codecs.encode_gif([(px[..., 0], 0, 0)], size=(px.shape[1], px.shape[0]), **{"palette": ramp} | options)
+
+
 class ImageSource(DataSource):
     """``spark.read.format("rasterloom").load(folder)`` and ``df.write.format("rasterloom").save(folder)`` for local or mounted folders.
 
@@ -145,6 +155,9 @@ class ImageSource(DataSource):
         return _Writer(self.options)
 
 
+_HEADS = {"png": b"\x89PNG", "gif": b"GIF8", "bmp": b"BM", "tiff": (b"II*\0", b"MM\0*"), "jpeg": b"\xff\xd8"}
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.folder = options["path"]
@@ -159,7 +172,7 @@ class _Reader(DataSourceReader):
         for path in partition.value:
             with open(path, "rb") as f:
                 data = f.read()
-            kind = next((k for k in ("png", "gif", "bmp", "tiff") if data.startswith({"png": b"\x89PNG", "gif": b"GIF8", "bmp": b"BM", "tiff": b"II*\0"}[k])), "tga")
+            kind = next((k for k, head in _HEADS.items() if data.startswith(head)), "tga")
             for k, frame in enumerate(codecs.DECODERS[kind](data).frames):
                 h, w, ch = frame.pixels.shape
                 for y in range(0, h, 64):

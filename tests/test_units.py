@@ -8,7 +8,7 @@ from rasterloom.functions import colour as curves
 from rasterloom.functions import kernels, numbers
 from rasterloom.operators import geometry
 from rasterloom.plans import pipeline, settings
-from rasterloom.sources import codecs, images, metadata
+from rasterloom.sources import codecs, images, jpeg, metadata
 
 rng = np.random.default_rng(1)
 
@@ -152,3 +152,55 @@ def test_pipeline(spark):
     assert len(got) == 32 and sorted({round(r.v, 9) for r in got}) == [0.0, 7.0]
     with pytest.raises(RuntimeError):
         p.add("late", lambda df: df)
+
+
+def picture(h, w):
+    y, x = np.mgrid[0:h, 0:w]
+    return np.stack([127 + 120 * np.sin(x / 17), 127 + 120 * np.cos(y / 23 + x / 40), (x + y) % 256 * 0.5 + 40], 2).clip(0, 255).astype(np.uint8)
+
+
+def psnr(a, b):
+    return 10 * np.log10(255**2 / max(1e-9, ((a.astype(float) - b) ** 2).mean()))
+
+
+@pytest.mark.parametrize("subsample", [444, 422, 420])
+def test_jpeg_is_read_by_others(spark, tmp_path, subsample):
+    px = picture(83, 121)
+    for name, data in (("a", jpeg.encode(px, 90, subsample, icc=b"p" * 70_000)), ("b", jpeg.encode(px[..., :1], 90))):
+        (tmp_path / f"{name}.jpg").write_bytes(data)
+    got = {r.image.origin[-5]: r.image for r in spark.read.format("image").load(str(tmp_path)).collect()}
+    for name, want in (("a", px), ("b", px[..., :1])):
+        i = got[name]
+        assert psnr(np.frombuffer(bytes(i.data), np.uint8).reshape(i.height, i.width, i.nChannels), want) > 33
+    assert jpeg.decode((tmp_path / "a.jpg").read_bytes())[1] == b"p" * 70_000
+
+
+def test_jpeg_of_others_is_read(spark, tmp_path):
+    (tmp_path / "a.png").write_bytes(codecs.encode_png(picture(83, 121)))
+    jvm = spark._jvm
+    image = jvm.javax.imageio.ImageIO.read(jvm.java.io.File(str(tmp_path / "a.png")))
+    assert jvm.javax.imageio.ImageIO.write(image, "jpg", jvm.java.io.File(str(tmp_path / "a.jpg")))
+    px, _, _ = jpeg.decode((tmp_path / "a.jpg").read_bytes())
+    assert psnr(px, picture(83, 121)) > 30
+
+
+def test_jpeg_edges():
+    rng = np.random.default_rng(1)
+    for shape in ((1, 1, 1), (1, 1, 3), (8, 17, 3), (65, 3, 3)):
+        px = rng.integers(0, 256, shape, dtype=np.uint8)
+        assert np.abs(jpeg.decode(jpeg.encode(px, 100, 444))[0].astype(int) - px).max() <= 3
+    sizes = [len(jpeg.encode(picture(64, 64), q)) for q in (1, 30, 60, 90, 100)]
+    assert sizes == sorted(sizes)
+    for bad in (np.zeros((4, 4, 4), np.uint8), np.zeros((0, 4, 3), np.uint8)):
+        with pytest.raises(ValueError):
+            jpeg.encode(bad)
+    with pytest.raises(ValueError):
+        jpeg.decode(b"no image")
+    lengths = jpeg.code_lengths({s: 2**s for s in range(40)})
+    assert max(lengths.values()) == 16 and sum(2.0**-n for n in lengths.values()) == 1
+
+
+def test_unsharp_keeps_alpha(spark):
+    px = spark.createDataFrame([(1, y, x, *[float((x * 40) % 256)] * 3, float(y * 60)) for y in range(4) for x in range(4)], "image_id int, y int, x int, b double, g double, r double, a double")
+    p = pipeline.plan(px, ["image_id"], (4, 4), {"unsharp_amount": 50, "unsharp_radius": 1.0, "unsharp_threshold": 0}, list("bgra"))
+    assert all(r.a == r.y * 60 for r in p.pixels.collect())
