@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .functions import colour as curves
 from .functions import kernels, numbers
 from .operators import animation, colour, dense, geometry, palette, planar, resample
-from .plans import pipeline, requests, settings, views
+from .plans import pipeline, process, requests, settings, views
 from .plans.views import sql
 from .sources import images, synthetic
 from .sources import sniff as sniffing
@@ -689,3 +689,18 @@ def _(spark, d):
     small = pipeline.plan(px, ["image_id"], (8, 8), {"inner_w": 4, "inner_h": 4, "filter": "catmullrom"}, ["b"]).pixels
     small = small.withColumn("b", F.least(F.greatest(F.floor(F.col("b") + 0.5), F.lit(0)), F.lit(255)).cast("int"))
     return _read_back(_stored(small, "png")).select("image_id", "y", "x", F.col("b").alias("v"))
+
+
+@query("thumbnail_batch", sql("pb", f"""{_kernel_sql(8, 4, *_VALUES["catmullrom"])}, h AS (SELECT vec_id, y, k.o AS x, sum(v * k.w) AS v FROM pb p JOIN k ON k.i = p.x GROUP BY ALL)
+SELECT vec_id AS image_id, k.o AS y, x, {_ROUND} FROM h JOIN k ON k.i = h.y GROUP BY ALL"""))
+def _(spark, d):
+    """The same over whole images: no pixel is a row until the result is looked at."""
+    small = process.batch(_bytes_of(spark, d), "w=4&h=4&filter=catrom&gamma=companded&sharpen=false&format=png", "image_id")
+    return _read_back(small.select("image_id", F.col("format").alias("kind"), "content")).select("image_id", "y", "x", F.col("b").alias("v"))
+
+
+def _bytes_of(spark: SparkSession, d: str) -> DataFrame:
+    """The byte view of the embeddings as 8x8 grey images, in columns only."""
+    level = lambda v: F.least(F.greatest(F.floor((v.cast("double") + 1) * 127.5), F.lit(0)), F.lit(255))
+    e = views.read(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"), F.unhex(F.array_join(F.transform("embedding", lambda v: F.lpad(F.hex(level(v)), 2, "0")), "")).alias("data"))
+    return e.select("image_id", F.lit(8).alias("image_w"), F.lit(8).alias("image_h"), F.lit(1).alias("channels"), "data")

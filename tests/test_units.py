@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rasterloom.functions import colour as curves
 from rasterloom.functions import kernels, numbers
 from rasterloom.operators import geometry
-from rasterloom.plans import pipeline, settings
+from rasterloom.plans import pipeline, process, settings
 from rasterloom.sources import codecs, images, jpeg, metadata
 
 rng = np.random.default_rng(1)
@@ -204,3 +204,40 @@ def test_unsharp_keeps_alpha(spark):
     px = spark.createDataFrame([(1, y, x, *[float((x * 40) % 256)] * 3, float(y * 60)) for y in range(4) for x in range(4)], "image_id int, y int, x int, b double, g double, r double, a double")
     p = pipeline.plan(px, ["image_id"], (4, 4), {"unsharp_amount": 50, "unsharp_radius": 1.0, "unsharp_threshold": 0}, list("bgra"))
     assert all(r.a == r.y * 60 for r in p.pixels.collect())
+
+
+def test_process_files(spark, tmp_path):
+    px = picture(300, 400)
+    (tmp_path / "a.jpg").write_bytes(jpeg.encode(px, 95, 444))
+    (tmp_path / "b.png").write_bytes(codecs.encode_png(np.concatenate([px, np.full((300, 400, 1), 128, np.uint8)], 2)))
+    (tmp_path / "c.txt").write_bytes(b"no image, but long enough")
+    loaded = process.load(spark, str(tmp_path))
+    assert "Exchange" not in process.batch(loaded, "w=100")._jdf.queryExecution().toString()
+    out = {r.path[-5]: r for r in process.batch(loaded, "w=100&h=60&mode=pad&bg=red").collect()}
+    assert {k: (r.format, r.width, r.height, r.error) for k, r in out.items()} == {"a": ("jpeg", 100, 60, None), "b": ("jpeg", 100, 60, None)}
+    a = jpeg.decode(out["a"].content)[0]
+    assert np.abs(a[30, 2].astype(int) - (0, 0, 255)).max() < 8  # the border
+    small = {r.path[-5]: r for r in process.batch(loaded, "w=200&sharpen=false&gamma=companded&filter=average&hybrid=off&format=png").collect()}
+    mean = px.reshape(150, 2, 200, 2, 3).mean((1, 3))
+    got = codecs.decode_png(small["a"].content).frames[0].pixels
+    assert psnr(got, mean) > 40
+    assert codecs.decode_png(small["b"].content).frames[0].pixels.shape == (150, 200, 4)
+    asked = spark.createDataFrame([(1, f"file:{tmp_path}/a.jpg", "w=50"), (2, f"file:{tmp_path}/a.jpg", "crop=0,0,20,10&format=bmp"), (3, "nowhere", "w=5")], "request_id long, path string, query string")
+    known = loaded.withColumn("path", F.regexp_replace("path", "^file:/+", "file:/"))
+    got = {r.request_id: (r.format, r.width, r.height) for r in process.answer(asked, known).collect()}
+    assert got == {1: ("jpeg", 50, 38), 2: ("bmp", 20, 10)}
+
+
+def test_process_bytes(spark):
+    px = picture(64, 48)
+    rows = [(1, "jpeg", jpeg.encode(px)), (2, "png", b"damaged"), (3, None, None), (4, "bmp", codecs.encode_bmp(px)), (4, "bmp", codecs.encode_bmp(px))]
+    table = spark.createDataFrame(rows, "path long, kind string, content binary")
+    out = sorted((r.path, r.width, r.height, r.error is None) for r in process.batch(process.decoded(table), "h=32").collect())
+    assert out == [(1, 24, 32, True), (2, None, None, False), (3, None, None, False), (4, 24, 32, True), (4, 24, 32, True)]
+    assert process.batch(process.decoded(table.limit(0)), "h=32").count() == 0
+
+
+def test_halving_rounds_as_told():
+    assert process.halve(np.array([[[0], [0]], [[1], [0]]], np.uint8)).tolist() == [[[0]]]
+    assert process.halve(np.array([[[1], [2]], [[2], [3]]], np.uint8)).tolist() == [[[2]]]
+    assert process.halve(np.full((3, 5, 3), 7, np.uint8)).shape == (2, 3, 3)
