@@ -126,9 +126,9 @@ def redacted(text: str) -> str:
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the personal data in ``text`` replaced; null stays null, and all columns stay in place."""
 
-    @F.pandas_udf("string")
+    @F.arrow_udf("string")
     def clean(texts):
-        return texts.map(lambda t: None if t is None else redacted(t))
+        return pa.array((redacted(t.as_py()) if t.is_valid else None for t in texts), pa.string())
 
     return docs.withColumn(text, clean(F.col(text)))
 

@@ -63,10 +63,7 @@ def describe(text: bytes) -> tuple[list[int], list[float]]:
 class FactorisationMachine:
     def __init__(self, bias: float, w: np.ndarray, v: np.ndarray):
         self.bias, self.w, self.v = bias, w, v
-
-    @property
-    def packed(self) -> np.ndarray:
-        return np.c_[self.w, self.v]
+        self.packed = np.c_[w, v]
 
     def margins(self, rows: list[tuple[list[int], list[float]]]) -> np.ndarray:
         """One margin for each row, in time linear in the features."""
@@ -148,14 +145,11 @@ def accepted(docs: DataFrame, machine: FactorisationMachine, text: str = "text",
     """The rows of ``docs`` that score ``least`` or more, all columns as they were."""
     shared = docs.sparkSession.sparkContext.broadcast((machine.bias, machine.w, machine.v))
 
-    @F.pandas_udf("double")
+    @F.arrow_udf("double")
     def judge(texts):
-        import pandas as pd
-
         machine = FactorisationMachine(*shared.value)
-        raw = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in texts]
-        out = [_logistic(machine.margins([describe(t) for t in raw[lo:hi]])) for lo, hi in slices(raw)]
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+        out = [_logistic(machine.margins([describe(x.as_buffer().to_pybytes() if x.is_valid else b"")]))[0] for x in texts]  # a text at a time: a batch is large
+        return pa.array(out, pa.float64())
 
     return docs.where(judge(F.col(text)) >= least)
 
