@@ -1,24 +1,28 @@
 """Substring deduplication by content-defined chunking.
 
-A gear hash rolls over the bytes: h = 2h + GEAR[byte] in 16 bits, so it depends on the
-last 16 bytes alone. A chunk ends wherever h falls under a threshold; so an insertion
-moves the chunks around it and no others. Chunks are compared by digest, two
-neighbours at a time; the first place of a pair keeps it, the others give it up, and
-neighbouring pairs join to spans.
+Every passage of ``least_words`` words has a key: the least of the rolling hashes of the
+shorter word runs in it. A chunk is a stretch of neighbouring passages with one key, so an
+insertion moves the chunks around it and no others, and equal passages always share a key,
+in periodic text too. Under each key passages are compared by digest: the first place of a
+passage keeps it, the others give it up, and neighbouring ones join to spans.
+
+The rolling hash is a gear hash with an odd factor, which forgets nothing, so that the hash
+of any stretch follows from two running sums. ``gear`` and ``chunk`` are the plain form in 16 bits.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
 
 MEAN = 32  # bytes in a chunk, on average
-LEAST_WORDS = 16  # words that whole chunks of a span must hold; a passage loses 80 bytes at its ends, on average
+LEAST_WORDS = 51  # words of the shortest passage that counts
 BITS = 16
 GEAR = np.random.default_rng(20).integers(0, 1 << BITS, 256, dtype=np.uint16)
 
@@ -41,66 +45,166 @@ def chunk(text: bytes, mean: int = MEAN) -> np.ndarray:
     return ends if len(ends) and ends[-1] == len(text) else np.r_[ends, len(text)]
 
 
+WIDE = np.random.default_rng(21).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+FACTOR = 0x9E3779B97F4A7C15
+SEGMENT = 1 << 20  # bytes hashed at a time
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
 
 
-def occurrences(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mean: int = MEAN) -> DataFrame:
-    """(key, doc_id, place, begin, end, w0, w1): a row for each two neighbouring chunks. begin, end: bytes; w0, w1: words that begin before them; place tells rows of one id apart."""
+@lru_cache(8)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = (np.cumprod(np.r_[np.uint64(1), np.full(n - 1, f, np.uint64)]) for f in (FACTOR, pow(FACTOR, -1, 1 << 64)))
+    return up, down
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def passages(data: np.ndarray, s: np.ndarray, e: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, digest) of the passage of ``least_words`` words from each word on that has so many after it. s, e: where words begin and end."""
+    part = max(1, 2 * least_words // 5)
+    up, down = _powers(1 << max(16, len(data).bit_length()))
+    sums = np.r_[np.uint64(0), np.cumsum(WIDE[data] * up[: len(data)])]
+    of = lambda k: _mixed((sums[e[k - 1 :]] - sums[s[: len(s) - k + 1]]) * down[s[: len(s) - k + 1]])
+    key, have, want = of(part), 1, least_words - part + 1
+    while have < want:
+        step = min(have, want - have)
+        key, have = np.minimum(key[:-step], key[step:]), have + step
+    return key, of(least_words)
+
+
+def occurrences(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, segment: int = SEGMENT) -> DataFrame:
+    """(key, doc_id, place, begin, end, word, width, digests, begins, ends): a row for each chunk. begin, end: bytes of its first passage; word: words
+    before it; digests: of each of its passages, 8 bytes; begins, ends: how far each passage's moved on, ``width`` bytes; place tells rows of one id apart."""
 
     def run(batches):
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                cols: list[list] = [[], [], [], [], [], []]
+                rows: list[list] = [[], [], [], [], [], []]
+                blobs: list[list] = [[], [], []]
+                sizes: list[list] = [[], []]
                 for j, x in enumerate(part.column(2)):
-                    text = x.as_buffer().to_pybytes() if x.is_valid else b""
-                    ends = chunk(text, mean)
-                    if len(ends) < 2:
-                        continue
-                    begins = np.r_[0, ends[:-1]]
-                    d = np.fromiter((xxhash.xxh3_64_intdigest(text[s:e]) for s, e in zip(begins.tolist(), ends.tolist(), strict=True)), np.uint64, len(ends))
-                    blank = _BLANK[np.frombuffer(text, np.uint8)]
-                    new = ~blank
-                    new[1:] &= blank[:-1]
-                    words = np.r_[0, np.cumsum(new)]
-                    key = d[:-1] * np.uint64(0x9E3779B97F4A7C15) + (d[1:] ^ (d[1:] >> np.uint64(29)))
-                    for c, v in zip(cols, (np.full(len(key), j), key.view(np.int64), begins[:-1], ends[1:], words[begins[:-1]], words[ends[1:]]), strict=True):
-                        c.append(v)
-                if cols[0]:
-                    j, key, begin, end, w0, w1 = (np.concatenate(c) for c in cols)
+                    data = np.frombuffer(x.as_buffer() if x.is_valid else b"", np.uint8)
+                    edge = np.flatnonzero(np.diff(~_BLANK[data], prepend=False, append=False))
+                    starts, stops = edge[::2], edge[1::2]
+                    at = 0
+                    while at + least_words <= len(starts):  # passages that begin at words from at to upto
+                        upto = max(at + 1, int(np.searchsorted(starts, starts[at] + segment)))
+                        last = min(upto + least_words - 1, len(starts))
+                        base = starts[at]
+                        s, e = starts[at:last], stops[at:last]
+                        key, digest = passages(data[base : e[-1]], s - base, e - base, least_words)
+                        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                        n = len(key)
+                        begin, end = s[:n], e[least_words - 1 :]
+                        moved = np.diff(begin, prepend=begin[0]), np.diff(end, prepend=end[0])
+                        width = 1 if max(m.max() for m in moved) < 256 else 4
+                        for c, v in zip(rows, (np.full(len(first), j), key[first].view(np.int64), begin[first], end[first], at + first, np.full(len(first), width)), strict=True):
+                            c.append(v)
+                        blobs[0].append(digest.view(np.uint8))
+                        for c, v in zip(blobs[1:], moved, strict=True):
+                            c.append(v.astype(f"u{width}").view(np.uint8))
+                        held = np.diff(np.r_[first, n])
+                        sizes[0].append(held * 8)
+                        sizes[1].append(held * width)
+                        at = upto
+                if rows[0]:
+                    j, key, begin, end, word, width = (np.concatenate(c) for c in rows)
+                    offsets = [np.r_[0, np.cumsum(np.concatenate(c))].astype(np.int32) for c in sizes]
+                    packed = [pa.Array.from_buffers(pa.binary(), len(j), [None, pa.py_buffer(o), pa.py_buffer(np.concatenate(c))]) for c, o in zip(blobs, (offsets[0], offsets[1], offsets[1]), strict=True)]
                     take = pa.array(j)
-                    yield pa.record_batch([pa.array(key), part.column(0).take(take), part.column(1).take(take), *(pa.array(v.astype(np.int32)) for v in (begin, end, w0, w1))], ["key", "doc_id", "place", "begin", "end", "w0", "w1"])
+                    yield pa.record_batch([pa.array(key), part.column(0).take(take), part.column(1).take(take), *(pa.array(v.astype(np.int32)) for v in (begin, end, word, width)), *packed], ["key", "doc_id", "place", "begin", "end", "word", "width", "digests", "begins", "ends"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("place"), F.col(text).cast("binary").alias("text")).mapInArrow(run, f"key long, doc_id {kind}, place long, begin int, end int, w0 int, w1 int")
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("place"), F.col(text).cast("binary").alias("text")).mapInArrow(run, f"key long, doc_id {kind}, place long, begin int, end int, word int, width int, digests binary, begins binary, ends binary")
+
+
+def _repeated(digests: bytes, doc: tuple, word: int, seen: dict, least_words: int) -> list[tuple[int, int, object]]:
+    """(first, last, kept_in) of the runs of passages seen before; those not seen are noted. A passage that overlaps its own first place is no repeat."""
+    out: list = []
+    for i, d in enumerate(np.frombuffer(digests, np.uint64).tolist()):
+        first = seen.setdefault(d, (doc, word + i))
+        if first[0] == doc and word + i < first[1] + least_words:
+            continue
+        if out and out[-1][1] == i - 1:
+            out[-1] = (out[-1][0], i, out[-1][2])
+        else:
+            out.append((i, i, first[0][0]))
+    return out
 
 
-def duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mean: int = MEAN, least_words: int = LEAST_WORDS) -> DataFrame:
+def repeats(rows: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """(doc_id, place, begin, end, w0, w1, kept_in) of the runs of passages in ``occurrences`` whose first place is elsewhere; w0, w1: words that begin before begin and end."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    dealt = rows.withColumn("none", F.col("doc_id").isNull()).repartition("key").sortWithinPartitions("key", "none", "doc_id", "place", "begin")
+
+    def run(batches):
+        last, held, seen, whole, before = None, None, {}, {}, None
+
+        def look(key, row):
+            nonlocal last, seen, whole, before
+            if key != last:
+                last, seen, whole, before = key, {}, {}, None
+            doc, begin, end, word, width, digests, begins, ends = row
+            if before == (doc, word):  # a repeated row
+                return []
+            before = doc, word
+            n = len(digests) // 8
+            if whole.setdefault(digests, doc) != doc:
+                found = [(0, n - 1, seen[int.from_bytes(digests[:8], "little")][0][0])]
+            else:
+                found = _repeated(digests, doc, word, seen, least_words)
+            if not found:
+                return []
+            b, e = (np.cumsum(np.r_[0, np.frombuffer(x, f"u{width}")[1:].astype(np.int64)]) for x in (begins, ends))
+            return [(*doc, begin + int(b[i]), end + int(e[k]), word + i, word + k + least_words, kept) for i, k, kept in found]
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column(0).to_numpy()
+            same = key[1:] == key[:-1]
+            # of keys with one row nothing repeats but what the row itself repeats, and for that it must be long
+            many = np.r_[held is not None and key[0] == held[0], same] | np.r_[same, True]
+            size = np.diff(np.frombuffer(batch.column(7).buffers()[1], np.int32)[batch.column(7).offset :][: batch.num_rows + 1]) // 8
+            take = np.flatnonzero(many | (size > least_words))
+            part = batch.take(pa.array(take))
+            cols = [part.column(i).to_pylist() for i in range(1, 10)]
+            out = []
+            for k, *row in zip(key[take].tolist(), *cols, strict=True):
+                out += look(k, ((row[0], row[1]), *row[2:]))
+            held = (int(key[-1]),)
+            if out:
+                types = [batch.schema.field("doc_id").type, pa.int64(), *[pa.int32()] * 4, batch.schema.field("doc_id").type]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["doc_id", "place", "begin", "end", "w0", "w1", "kept_in"])
+
+    return dealt.drop("none").mapInArrow(run, f"doc_id {kind}, place long, begin int, end int, w0 int, w1 int, kept_in {kind}")
+
+
+def duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, begin, end, n_words, kept_in, place): spans that stand elsewhere already.
 
-    begin and end are bytes of the UTF-8 text. The first place of every passage, by doc_id (null last), then byte, is
-    kept, and kept_in names the document of the span's first chunks. A document that repeats a passage of its own is listed too. Null and empty texts and
-    texts of one chunk have no spans; of repeated rows with one id and text all but none are told apart, and the row
-    counts as one; an empty table gives no rows; other columns are left behind.
+    begin and end are bytes of the UTF-8 text, n_words the words between them. Every passage of ``least_words`` words, equal
+    byte for byte from its first word to its last, counts. Its first place, by doc_id (null last), then byte, is
+    kept, and kept_in names the document of the span's first passage. A document that repeats a passage of its own, without
+    overlap, is listed too. Null and shorter texts have no spans; repeated rows with one id and text count as one;
+    an empty table gives no rows; other columns are left behind.
     """
-    rows = occurrences(docs, id_col, text, mean)
-    at = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "place", "begin")
-    first = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(at).alias("first")).where("n > 1").select("key", "first")
-    # under another name the repeated keys get an exchange of their own, so that a hot key's join can be split
-    first = first.select(F.col("key").bitwiseXOR(F.lit(0).cast("long")).alias("repeated"), "first")
-    later = rows.join(first, F.col("key") == F.col("repeated")).where(at != F.col("first"))
+    later = repeats(occurrences(docs, id_col, text, least_words), least_words)
     w = Window.partitionBy("doc_id", "place").orderBy("begin", "end")
     far = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    later = later.select("doc_id", "place", "begin", "end", "w0", "w1", F.col("first.doc_id").alias("kept_in"))
     later = later.withColumn("new", F.when(far.isNull() | (F.col("begin") > far), 1).otherwise(0)).withColumn("run", F.sum("new").over(w))
     spans = later.groupBy("doc_id", "place", "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), (F.max("w1") - F.min("w0")).alias("n_words"), F.min_by("kept_in", "begin").alias("kept_in"))
-    return spans.where(F.col("n_words") >= least_words).select("doc_id", "begin", "end", F.col("n_words").cast("long").alias("n_words"), "kept_in", "place")
+    return spans.select("doc_id", "begin", "end", F.col("n_words").cast("long").alias("n_words"), "kept_in", "place")
 
 
-def remove(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mean: int = MEAN, least_words: int = LEAST_WORDS) -> DataFrame:
+def remove(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with the repeated spans cut out of ``text``. A cut inside a letter of several bytes moves to its end; null stays null."""
-    spans = cut(duplicates(docs, id_col, text, mean, least_words)).groupBy(F.col("doc_id").alias("d_"), F.col("place").alias("p_")).agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("s_"))
+    spans = cut(duplicates(docs, id_col, text, least_words)).groupBy(F.col("doc_id").alias("d_"), F.col("place").alias("p_")).agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("s_"))
 
     @F.pandas_udf("string")
     def without(texts, spans):

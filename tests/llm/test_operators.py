@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import brute
 import numpy as np
@@ -332,5 +333,40 @@ def test_substring_dedup(spark, docs, none):
     assert got.columns == docs.columns and got.count() == len(DOCS)
 
 
+def repeated_passages(table, least):
+    """(doc_id, begin, end, n_words, kept_in) by comparing every passage of ``least`` words with all before it."""
+    seen, out = {}, []
+    for d, text in sorted(set(table), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")):
+        raw = (text or "").encode()
+        words = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+        spans = []
+        for i in range(len(words) - least + 1):
+            begin, end = words[i][0], words[i + least - 1][1]
+            first = seen.setdefault(raw[begin:end], (d, i))
+            if first[0] == d and i < first[1] + least:
+                continue
+            if spans and begin <= spans[-1][1]:
+                spans[-1][1:3] = [end, i + least]
+            else:
+                spans.append([begin, end, i + least, i, first[0]])
+        out += [(d, b, e, w1 - w0, k) for b, e, w1, w0, k in spans]
+    return out
+
+
+def test_substring_dedup_periodic(spark):
+    rng = random.Random(6)
+    junk = [" ".join(["Of"] * 300), " ".join(["Ez\u00f1ado"] * 120), " ".join(["a b"] * 90), "x " * 60, " ".join(["la la lu"] * 400)]
+    some = lambda n: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(1, 9))) for _ in range(n))
+    table = [(i, t) for i, t in enumerate(junk)] + [(10 + i, f"{some(7 + i)} {t} {some(9)}") for i, t in enumerate(junk)] + [(None, junk[1]), (40, None), (41, ""), (42, junk[0]), (42, junk[0]), (43, some(50))]
+    table += [(50 + i, " ".join(rng.choices(["a b c", "b", "c\n", " d"], k=rng.randint(0, 200)))) for i in range(40)]
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    for least in (51, 5):
+        got = rows(chunks.duplicates(df, least_words=least).select("doc_id", "begin", "end", "n_words", "kept_in"))
+        assert got == key(repeated_passages(table, least))
+        assert {r[0] for r in got} >= {10, 11, 12, 13, 14, 42, None}
+    places = lambda found: {(r.doc_id, r.place, i) for r in found.collect() for i in range(r.w0, r.w1 - 50)}
+    assert places(chunks.repeats(chunks.occurrences(df, segment=100))) == places(chunks.repeats(chunks.occurrences(df)))  # long texts go in parts
+
+
 def test_names():
     assert common.free_name(["Size", "_size"], "size") == "__size"
