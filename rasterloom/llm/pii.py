@@ -15,7 +15,13 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=\x20?[A-Z0-9])")
+#: Signs of an account number by country, from the public register; elsewhere any length from 15 to 34 will do.
+_IBAN_SIGNS = {x[:2]: int(x[2:]) for x in """
+AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22
+GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31
+MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24
+XK20 YE30""".split()}
 _NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 KINDS = ("email", "ip", "card", "phone", "iban", "national_id")
 BASE = 4  # the first four kinds are the base: they stay, whatever their score
@@ -64,6 +70,29 @@ def _emails(text: str):
         at = text.find("@", max(at + 1, done))
 
 
+def _ibans(text: str):
+    """At each start the ends at word boundaries: where the country fixes a length, that one and then the farthest; else every one, the farthest first."""
+    at = 0
+    while m := _IBAN.search(text, at):
+        begin, end, signs, ends = m.start(), m.start(), 0, {}
+        while signs < 34:
+            step = end + (signs > 0 and text[end : end + 1] == " ")
+            c = text[step : step + 1]
+            if not (c and c.isascii() and (c.isdigit() or c.isupper())):
+                break
+            end, signs = step + 1, signs + 1
+            c = text[end : end + 1]
+            if signs >= 15 and not (c.isascii() and c.isalnum()):
+                ends[signs] = end
+        far = sorted(ends, reverse=True)
+        fixed = _IBAN_SIGNS.get(m[0][:2])
+        tried = far if fixed is None else [n for n in (fixed, *far[:1]) if n in ends]
+        found = next((ends[n] for n in tried if mod97(text[begin : ends[n]])), None)
+        if found:
+            yield begin, found
+        at = found or begin + 4
+
+
 def spans_of(text: str) -> list[tuple[int, int, str, float]]:
     """(begin, end, kind, score), by begin, then in the order of KINDS. Offsets are code points, end exclusive."""
     out: list[tuple[int, int, int]] = [(s, e, 0) for s, e in _emails(text)]
@@ -75,7 +104,7 @@ def spans_of(text: str) -> list[tuple[int, int, str, float]]:
                 out.append((m.start(), m.end(), 2))
         if "+" in text:
             out += [(m.start(), m.end(), 3) for m in _PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15]
-        out += [(m.start(), m.end(), 4) for m in _IBAN.finditer(text) if mod97(m[0])]
+        out += [(s, e, 4) for s, e in _ibans(text)]
         if "-" in text:
             out += [(m.start(), m.end(), 5) for m in _NATIONAL.finditer(text)]
     out.sort(key=lambda x: (x[0], x[2], x[1]))

@@ -280,6 +280,16 @@ def test_pii_random():
     assert [x[2] for x in pii.spans_of("my iban GB82 WEST 1234 5698 7654 32 and ssn 123-45-6789")] == ["iban", "national_id"]
 
 
+def test_pii_iban_ends():
+    gb, de, far = "GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00", "ZZ33 1234 5678 9012 345"
+    assert pii.mod97(far)
+    for text in (f"IBAN {gb} BIC WESTGB2L", f"{de} I said", f"{gb} {de}", f"{de} {gb} {de}", f"AB12 CD34 {gb} AND MORE", f"{far} BIC X", f"{gb.replace(' ', '')} A", f"{de}, {gb}. X{gb} {gb}x", f"{gb} 7 GB82 WEST"):
+        want = [m.span() for m in re.finditer(rf"(?<![A-Za-z0-9])({gb}|{gb.replace(' ', '')}|{de}|{far})(?![A-Za-z0-9])", text)]
+        assert [(s, e) for s, e, k, _ in pii.spans_of(text) if k == "iban"] == want and want, text
+    assert pii.redacted(f"to {de} {gb} BIC") == "to <IBAN> <IBAN> BIC"
+    assert not [x for x in pii.spans_of("GB82 WEST 1234 5698 7654 33 BIC, GB82 WEST 1234 and GB82") if x[2] == "iban"]
+
+
 def test_quality(spark, docs):
     rng = random.Random(4)
     table, labels = [], []
