@@ -3,10 +3,12 @@
 Sizes and defaults are solved in columns; the pixels then go through one Arrow pass
 with no shuffle, and a task holds one batch of images (Spark bounds a batch's bytes).
 Files are decoded by Spark's image source in the JVM, bytes at hand by our own codecs.
+Images are turned upright as EXIF says; of several frames the asked one is answered, as a still image.
 """
 
 from __future__ import annotations
 
+import json
 from functools import lru_cache
 
 import numpy as np
@@ -16,7 +18,8 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import PRESETS, blur_weights, weights
 from ..operators.dense import matrix
-from ..sources import codecs
+from ..operators.geometry import ORIENTATIONS
+from ..sources import codecs, images as files, metadata
 from . import settings
 
 LUMA = (0.114, 0.587, 0.299)  # of b, g, r
@@ -24,29 +27,110 @@ SOLVED = ("crop_x", "crop_y", "crop_w", "crop_h", "inner_w", "inner_h", "outer_w
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    """(path, image_w, image_h, channels, data) of image files: bytes by rows, grey or BGR(A). Files that are no images go."""
-    raw = spark.read.format("image").option("dropInvalid", "true").load(path).select("image.*")
-    return raw.select(F.col("origin").alias("path"), F.col("width").alias("image_w"), F.col("height").alias("image_h"), F.col("nChannels").alias("channels"), "data")
+    """(path, image_w, image_h, channels, data, orientation) of image files as stored: bytes by rows, grey or BGR(A). Files that are no images go.
+
+    Only the first frame is read; asking for another is an error (``decoded`` has all). Spark's image source leaves EXIF
+    out, so the headers are read first; the paths of images that aren't upright come to the driver.
+    """
+    raw = spark.read.format("image").option("dropInvalid", "true").load(path).select("image.*", F.col("_metadata.file_path").alias("__file"))
+    turned = {r.file: r.orientation for r in _orientations(spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"), "content")).collect()}
+    orientation = F.coalesce(F.element_at(F.from_json(F.lit(json.dumps(turned)), "map<string,int>"), F.col("__file")), F.lit(1)) if turned else F.lit(1)
+    return raw.select(F.col("origin").alias("path"), F.col("width").alias("image_w"), F.col("height").alias("image_h"), F.col("nChannels").alias("channels"), "data", orientation.alias("orientation"))
+
+
+def _orientations(found: DataFrame) -> DataFrame:
+    """(file, orientation) of those of (file, content) that aren't upright."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for file, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                data = content.as_py() or b""
+                try:
+                    if data[:4] in (b"II*\0", b"MM\0*"):
+                        o = metadata.orientation([x for x in metadata.read_exif(data) if x[0] == "ifd0"])
+                    else:
+                        o = files.header("jpeg" if data[:2] == b"\xff\xd8" else "png", data)[0][-1]
+                except Exception:  # noqa: BLE001 - no header that can be read: as stored
+                    o = 1
+                if o != 1:
+                    out.append((file, o))
+            yield pa.record_batch([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int32())], ["file", "orientation"])
+
+    return found.mapInArrow(run, "file string, orientation int")
+
+
+def upright(px: np.ndarray, orientation: int) -> np.ndarray:
+    swap, flip_x, flip_y = ORIENTATIONS.get(orientation, ORIENTATIONS[1])
+    px = px.transpose(1, 0, 2) if swap else px
+    px = px[:, ::-1] if flip_x else px
+    return px[::-1] if flip_y else px
+
+
+def _bgra(px: np.ndarray) -> np.ndarray:
+    px = np.repeat(px, 3, 2) if px.shape[2] == 1 else px
+    return px if px.shape[2] == 4 else np.concatenate([px, np.full((*px.shape[:2], 1), 255, np.uint8)], 2)
+
+
+def screens(image: codecs.Image):
+    """What is shown at each frame, upright: pages as they are, frames of an animation drawn over those before."""
+    exif = metadata.orientation([x for x in metadata.read_exif(image.exif) if x[0] == "ifd0"]) if image.exif else 1
+    size = (image.height, image.width)
+    if image.mime not in ("image/gif", "image/png") or len(image.frames) == 1 and image.frames[0].pixels.shape[:2] == size:
+        for f in image.frames:
+            yield upright(f.pixels, f.orientation if f.orientation != 1 else exif)
+        return
+    clear = any(f.pixels.shape[2] == 4 for f in image.frames)
+    screen = np.zeros((*size, 4), np.uint8)
+    for f in image.frames:
+        before = screen.copy() if f.disposal == 3 else None
+        part = screen[f.top : f.top + f.pixels.shape[0], f.left : f.left + f.pixels.shape[1]]
+        new = _bgra(f.pixels)[: part.shape[0], : part.shape[1]]
+        if image.mime == "image/gif" or f.blend:
+            a, under = new[..., 3:].astype(np.float32) / 255, part[..., 3:].astype(np.float32) / 255
+            alpha = a + under * (1 - a)
+            colour = (new[..., :3] * a + part[..., :3] * under * (1 - a)) / np.maximum(alpha, 1e-6)
+            new = np.concatenate([_bytes(colour), _bytes(alpha * 255)], 2)
+        part[:] = new
+        yield upright(screen.copy() if clear or (screen[..., 3] < 255).any() else screen[..., :3].copy(), exif)
+        if f.disposal == 2:
+            part[:] = 0
+        elif before is not None:
+            screen = before
 
 
 def decoded(images: DataFrame, key: str = "path") -> DataFrame:
-    """(key, image_w, image_h, channels, data, error) of the first frame of (key, kind, content); a damaged or unknown file has an error and no data."""
+    """(key, image_w, image_h, channels, data, error, frame_no, frames): an upright row for each frame of (key, kind, content); a damaged or unknown file has one with an error and no data."""
+    types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.int32(), pa.int32()]
+    names = [key, "image_w", "image_h", "channels", "data", "error", "frame_no", "frames"]
 
     def run(batches):
         for b in batches:
-            rows = []
-            for kind, content in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            rows, of, held = [], [], 0
+
+            def batch(b=b):
+                cols = list(zip(*rows, strict=True)) if rows else [()] * 7
+                return pa.record_batch([b.column(0).take(pa.array(of, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names)
+
+            for j, (kind, content) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                done = len(rows)
                 try:
-                    px = codecs.DECODERS[kind](content).frames[0].pixels
-                    rows.append((px.shape[1], px.shape[0], px.shape[2], px.tobytes(), None))
+                    image = codecs.DECODERS[kind](content)
+                    shown = list(screens(image))
+                    if not shown:
+                        raise ValueError("no frames")
+                    rows += [(px.shape[1], px.shape[0], px.shape[2], px.tobytes(), None, i, len(shown)) for i, px in enumerate(shown)]
                 except Exception as e:  # noqa: BLE001 - a file can be damaged in any way
-                    rows.append((None, None, None, None, f"{type(e).__name__}: {e}"))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-            types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
-            yield pa.record_batch([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], [key, "image_w", "image_h", "channels", "data", "error"])
+                    rows.append((None, None, None, None, f"{type(e).__name__}: {e}", 0, None))
+                of += [j] * (len(rows) - done)
+                held += sum(len(r[3] or b"") for r in rows[done:])
+                if held > 1 << 26:
+                    yield batch()
+                    rows, of, held = [], [], 0
+            yield batch()
 
     kind = images.schema[key].dataType.simpleString()
-    return images.select(key, "kind", "content").mapInArrow(run, f"{key} {kind}, image_w int, image_h int, channels int, data binary, error string")
+    return images.select(key, "kind", "content").mapInArrow(run, f"{key} {kind}, image_w int, image_h int, channels int, data binary, error string, frame_no int, frames int")
 
 
 @lru_cache(64)
@@ -142,7 +226,7 @@ def _write(px: np.ndarray, s: dict) -> bytes:
 
 def run(solved: DataFrame, key: str = "path") -> DataFrame:
     """(key, format, width, height, content, error) of rows with image_w, image_h, channels, data and the solved settings. A row that fails has an error and no content; rows without data keep their error."""
-    kept = [c for c in ("error",) if c in solved.columns]
+    kept = [c for c in ("error", "orientation") if c in solved.columns]
 
     def work(batches):
         for b in batches:
@@ -154,7 +238,7 @@ def run(solved: DataFrame, key: str = "path") -> DataFrame:
                     if not data.is_valid:
                         raise ValueError(s.get("error") or "no pixels")
                     px = np.frombuffer(data.as_buffer(), np.uint8).reshape(h.as_py(), w.as_py(), ch.as_py())
-                    out = render(px, s)
+                    out = render(upright(px, s.get("orientation") or 1), s)
                     rows.append((s["format"], out.shape[1], out.shape[0], _write(out, s), None))
                 except Exception as e:  # noqa: BLE001 - one bad image must not end the batch
                     rows.append((s["format"], None, None, None, f"{type(e).__name__}: {e}"))
@@ -166,8 +250,22 @@ def run(solved: DataFrame, key: str = "path") -> DataFrame:
     return solved.select(key, "image_w", "image_h", "channels", "data", *SOLVED, *kept).mapInArrow(work, f"{key} {kind}, format string, width int, height int, content binary, error string")
 
 
+def _asked(df: DataFrame) -> DataFrame:
+    """Of each image the row of the asked frame; where it has no such frame its first, with an error and no data."""
+    for name, value in (("frame_no", F.lit(0)), ("frames", F.lit(None).cast("int")), ("error", F.lit(None).cast("string"))):
+        if name not in df.columns:
+            df = df.withColumn(name, value)
+    beyond = F.col("frame") >= F.coalesce("frames", F.lit(1))
+    df = df.where((F.col("frame_no") == F.col("frame")) | (beyond & (F.col("frame_no") == 0)))
+    why = F.when(F.col("frames").isNull(), F.concat(F.lit("frame "), "frame", F.lit(": only the first was read"))).otherwise(F.concat(F.lit("frame "), "frame", F.lit(" of "), "frames"))
+    return df.withColumns({"error": F.when(F.col("error").isNull() & beyond, why).otherwise(F.col("error")), "data": F.when(~beyond, F.col("data"))})
+
+
 def _solve(df: DataFrame) -> DataFrame:
-    df = settings.defaults(settings.fixup(df)).withColumns({"mime": F.lit("image/jpeg"), "has_alpha": F.col("channels") == 4})
+    df = _asked(df)
+    turned = F.col("orientation") > 4 if "orientation" in df.columns else F.lit(False)
+    df = df.withColumns({"_upright_w": F.when(turned, F.col("image_h")).otherwise(F.col("image_w")), "_upright_h": F.when(turned, F.col("image_w")).otherwise(F.col("image_h"))})
+    df = settings.defaults(settings.fixup(df, "_upright_w", "_upright_h")).withColumns({"mime": F.lit("image/jpeg"), "has_alpha": F.col("channels") == 4})
     df = df.withColumn("format", settings.guess_format(df))
     return df.withColumn("format", F.when((F.col("format") == "gif"), "png").otherwise(F.col("format")))
 

@@ -26,6 +26,7 @@ class Frame:
     duration: tuple[int, int] = (0, 1)  # seconds, as a fraction
     disposal: int = 0
     blend: int = 0
+    orientation: int = 1  # of a page with a directory of its own
 
 
 @dataclass
@@ -437,25 +438,31 @@ def encode_tga(px: np.ndarray, rle: bool = False) -> bytes:
 
 
 def decode_tiff(data: bytes) -> Image:
-    """Uncompressed strips, 8 bits a sample: grey, RGB or RGBA."""
+    """Uncompressed strips, 8 bits a sample: grey, RGB or RGBA. Each page is a frame."""
     e = {b"II": "<", b"MM": ">"}[data[:2]]
-    tags = {}
     (at,) = struct.unpack_from(e + "I", data, 4)
-    (n,) = struct.unpack_from(e + "H", data, at)
-    for i in range(n):
-        tag, kind, count = struct.unpack_from(e + "HHI", data, at + 2 + 12 * i)
-        size, code = {1: (1, "B"), 3: (2, "H"), 4: (4, "I")}.get(kind, (0, ""))
-        if size:
-            where = at + 10 + 12 * i if size * count <= 4 else struct.unpack_from(e + "I", data, at + 10 + 12 * i)[0]
-            tags[tag] = struct.unpack_from(e + code * count, data, where)
-    if tags.get(259, (1,))[0] != 1 or set(tags.get(258, (8,))) != {8}:
-        raise Unsupported("TIFF that is compressed or hasn't 8 bits a sample")
-    w, h, ch = tags[256][0], tags[257][0], tags.get(277, (1,))[0]
-    flat = b"".join(data[o : o + c] for o, c in zip(tags[273], tags[279], strict=True))
-    px = np.frombuffer(flat, np.uint8, w * h * ch).reshape(h, w, ch)
-    if tags.get(262, (1,))[0] == 0:
-        px = 255 - px
-    return Image("image/tiff", [Frame(np.concatenate([px[..., 2::-1], px[..., 3:]], axis=2) if ch >= 3 else px)], w, h)
+    frames, seen = [], set()
+    while at and at not in seen:
+        seen.add(at)
+        tags = {}
+        (n,) = struct.unpack_from(e + "H", data, at)
+        for i in range(n):
+            tag, kind, count = struct.unpack_from(e + "HHI", data, at + 2 + 12 * i)
+            size, code = {1: (1, "B"), 3: (2, "H"), 4: (4, "I")}.get(kind, (0, ""))
+            if size:
+                where = at + 10 + 12 * i if size * count <= 4 else struct.unpack_from(e + "I", data, at + 10 + 12 * i)[0]
+                tags[tag] = struct.unpack_from(e + code * count, data, where)
+        if tags.get(259, (1,))[0] != 1 or set(tags.get(258, (8,))) != {8}:
+            raise Unsupported("TIFF that is compressed or hasn't 8 bits a sample")
+        w, h, ch = tags[256][0], tags[257][0], tags.get(277, (1,))[0]
+        flat = b"".join(data[o : o + c] for o, c in zip(tags[273], tags[279], strict=True))
+        px = np.frombuffer(flat, np.uint8, w * h * ch).reshape(h, w, ch)
+        if tags.get(262, (1,))[0] == 0:
+            px = 255 - px
+        frames.append(Frame(np.concatenate([px[..., 2::-1], px[..., 3:]], axis=2) if ch >= 3 else px, orientation=tags.get(274, (1,))[0]))
+        follow = at + 2 + 12 * n
+        at = struct.unpack_from(e + "I", data, follow)[0] if follow + 4 <= len(data) else 0
+    return Image("image/tiff", frames, frames[0].pixels.shape[1], frames[0].pixels.shape[0])
 
 
 def encode_tiff(px: np.ndarray) -> bytes:

@@ -57,6 +57,8 @@ def header(kind: str, data: bytes) -> list[tuple[int, int, int, bool, int]]:
         return [(k, *((h, w) if o > 4 else (w, h)), alpha or colour in (4, 6), o) for k in range(frames)]
     if kind in codecs.DECODERS:
         image = codecs.DECODERS[kind](data)
+        if kind == "tiff":  # pages have sizes of their own
+            return [(k, *(f.pixels.shape[:2] if f.orientation > 4 else f.pixels.shape[1::-1]), f.pixels.shape[2] == 4, f.orientation) for k, f in enumerate(image.frames)]
         return [(k, image.width, image.height, f.pixels.shape[2] == 4, 1) for k, f in enumerate(image.frames)]
     raise codecs.Unsupported(kind)
 

@@ -237,6 +237,58 @@ def test_process_bytes(spark):
     assert process.batch(process.decoded(table.limit(0)), "h=32").count() == 0
 
 
+def turned_jpeg(px, orientation):
+    body = b"Exif\0\0" + metadata.write_exif([(metadata.ORIENTATION, "short", bytes([orientation, 0]))])
+    data = jpeg.encode(px, 95, 444)
+    return data[:2] + b"\xff\xe1" + (len(body) + 2).to_bytes(2, "big") + body + data[2:]
+
+
+def test_process_turns_upright(spark, tmp_path):
+    px = picture(40, 60)
+    show = {1: px, 2: px[:, ::-1], 3: px[::-1, ::-1], 4: px[::-1], 5: px.transpose(1, 0, 2), 6: np.rot90(px, -1), 7: px[::-1, ::-1].transpose(1, 0, 2), 8: np.rot90(px)}
+    for o in show:
+        (tmp_path / f"a b{o}.jpg").write_bytes(turned_jpeg(px, o))
+    loaded = process.load(spark, str(tmp_path))
+    table = spark.createDataFrame([(f"{o}.jpg", "jpeg", turned_jpeg(px, o)) for o in show], "path string, kind string, content binary")
+    for source in (loaded, process.decoded(table)):
+        assert "Exchange" not in process.batch(source, "w=30")._jdf.queryExecution().toString()
+        whole = {int(r.path[-5]): r for r in process.batch(source, "format=png").collect()}
+        assert set(whole) == set(show)
+        for o, r in whole.items():
+            got = codecs.decode_png(r.content).frames[0].pixels
+            assert got.shape == show[o].shape and psnr(got, show[o]) > 30, o
+        assert {int(r.path[-5]): (r.width, r.height) for r in process.batch(source, "w=30").collect()} == {o: (30, 20) if o < 5 else (30, 45) for o in show}
+
+
+def test_process_frames(spark):
+    palette = np.array([[0, 0, 255], [0, 255, 0], [255, 0, 0], [1, 2, 3]], np.uint8)
+    full, small = np.zeros((8, 8), np.uint8), np.ones((2, 2), np.uint8)
+    gif = codecs.encode_gif([(full, 0, 0), (small, 4, 2), (small + 1, 0, 0)], palette, (8, 8))
+    first, second = (codecs.encode_tiff(np.full((4, 6, 3), v, np.uint8)) for v in (10, 20))
+    at = int.from_bytes(second[4:8], "little") + len(first)  # the second file behind the first, its offsets moved on
+    n = int.from_bytes(second[at - len(first) : at - len(first) + 2], "little")
+    moved = bytearray(first + second)
+    for i in range(n):
+        where = at + 2 + 12 * i
+        tag = int.from_bytes(moved[where : where + 2], "little")
+        if tag in (258, 273):
+            moved[where + 8 : where + 12] = (int.from_bytes(moved[where + 8 : where + 12], "little") + len(first)).to_bytes(4, "little")
+    moved[len(first) - 4 : len(first)] = at.to_bytes(4, "little")
+    table = spark.createDataFrame([("gif", "gif", gif), ("tiff", "tiff", bytes(moved)), ("bad", "gif", b"bad")], "path string, kind string, content binary")
+    frames = process.decoded(table)
+    got = lambda query: {r.path: (codecs.decode_png(r.content).frames[0].pixels if r.content else None, r.error) for r in process.batch(frames, query).collect()}
+    zero, one, two, three = (got(f"format=png&{q}") for q in ("", "page=1", "frame=2", "frame=3"))
+    want = np.broadcast_to(palette[0], (8, 8, 3)).copy()
+    assert (zero["gif"][0] == want).all() and (zero["tiff"][0] == 10).all() and (one["tiff"][0] == 20).all()
+    want[2:4, 4:6] = palette[1]
+    assert (one["gif"][0] == want).all()
+    want[:2, :2] = palette[2]
+    assert (two["gif"][0] == want).all() and two["tiff"] == (None, "ValueError: frame 2 of 2")
+    assert three["gif"] == (None, "ValueError: frame 3 of 3") and all(x["bad"][0] is None for x in (zero, one, two, three))
+    still = spark.createDataFrame([("x", 2, 2, 3, bytes(12))], "path string, image_w int, image_h int, channels int, data binary")
+    assert [r.error for r in process.batch(still, "page=1").collect()] == ["ValueError: frame 1: only the first was read"]
+
+
 def test_halving_rounds_as_told():
     assert process.halve(np.array([[[0], [0]], [[1], [0]]], np.uint8)).tolist() == [[[0]]]
     assert process.halve(np.array([[[1], [2]], [[2], [3]]], np.uint8)).tolist() == [[[2]]]
