@@ -221,22 +221,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     smallest doc_id reachable; null ids take part but never name a component unless it has no other.
     Repeated rows stay; an empty table gives no rows; other columns are left behind.
     """
+    return _rooted(docs, id_col, text, shingle, radius).drop("root")
+
+
+def _rooted(docs: DataFrame, id_col: str, text: str, shingle: int, radius: int) -> DataFrame:
+    """``near_duplicates`` with the root, which names a component of rows without ids too."""
     own = cut(fingerprints(docs, id_col, text, shingle))
     distinct = own.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     found = cut(links(distinct.select("fp"), radius))
     groups = components(found)
     named = distinct.join(groups, distinct["fp"] == groups["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = cut(named.join(least, "root").select("fp", "component_id"))
-    return own.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "place")
+    named = cut(named.join(least, "root").select("fp", "component_id", "root"))
+    return own.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "place", "root")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the row of the smallest id stays (then the smallest text hash), once. All columns are kept."""
-    all_ = near_duplicates(docs, id_col, text, shingle, radius)
+    all_ = _rooted(docs, id_col, text, shingle, radius)
     first = all_.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")).alias("s"))
-    # components without any id share a null component_id: tell them apart by fingerprint
-    none = all_.where("component_id is null").groupBy("fingerprint").agg(F.min("place").alias("p_")).select(F.lit(None).cast(docs.schema[id_col].dataType).alias("k_"), "p_")
+    # components without any id share a null component_id: tell them apart by root
+    none = all_.where("component_id is null").groupBy("root").agg(F.min("place").alias("p_")).select(F.lit(None).cast(docs.schema[id_col].dataType).alias("k_"), "p_")
     keep = first.where("component_id is not null").select(F.col("s.doc_id").alias("k_"), F.col("s.place").alias("p_")).union(none)
     out = docs.withColumn("__place", F.xxhash64(text)).join(keep, F.col(id_col).eqNullSafe(F.col("k_")) & (F.col("__place") == F.col("p_")), "left_semi")
     repeated = all_.groupBy("doc_id", "place").count().where("count > 1").limit(1).count()

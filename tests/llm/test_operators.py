@@ -127,6 +127,21 @@ def test_simhash(docs, none):
     assert key(r.doc_id for r in kept.collect()) == key({c for c in want})
 
 
+def test_one_of_each_without_ids(spark):
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(400)]
+    texts = {}
+    for i in range(400):  # one word changed each: near copies of different fingerprints
+        t = " ".join([*words[:i], "changed", *words[i + 1 :]])
+        texts.setdefault(brute.fingerprints([(0, t)])[0], t)
+    near = next([texts[a], texts[b]] for a in texts for b in texts if 0 < (a ^ b).bit_count() <= 3)
+    apart = "something else altogether that stands alone"
+    df = spark.createDataFrame([(None, t) for t in [*near, apart]], "doc_id long, text string")
+    kept = [r.text for r in simhash.one_of_each(df).collect()]
+    assert len(kept) == 2 and apart in kept
+    assert simhash.near_duplicates(df).columns == ["doc_id", "fingerprint", "component_id", "place"]
+
+
 def test_links_find_all(spark):
     rng = random.Random(5)
     centres = [rng.getrandbits(64) for _ in range(6)]
