@@ -55,7 +55,7 @@ def op9_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks.duplicates(table(spark, sf_dir, "documents")).drop("place")
+    return chunks.duplicates(table(spark, sf_dir, "documents"), least_words=51).drop("place")
 
 
 QUERIES = {f.__name__: f for f in (op1_sainte_lague_mix, op2_ogg_media, op3_simhash_bktree, op4_warc_chain, op5_string_kernel_toxicity, op6_chat_grammar, op7_suffix_array_decontamination, op8_pii_spans, op9_factorisation_quality, op10_gear_chunks)}

@@ -393,5 +393,21 @@ def test_substring_dedup_periodic(spark):
     assert places(chunks.repeats(chunks.occurrences(df, segment=100))) == places(chunks.repeats(chunks.occurrences(df)))  # long texts go in parts
 
 
+def test_substring_dedup_lengths(spark):
+    rng = random.Random(9)
+    some = lambda n: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(3, 9))) for _ in range(n))
+    table, want = [], {}
+    for n in (15, 30, 49, 50, 51, 52, 75, 200):
+        p = some(n)
+        table += [(2 * n, f"{some(60)} {p} {some(60)}"), (2 * n + 1, f"{some(40)} {p} {some(70)}")]
+        if n > 50:
+            want[2 * n + 1] = (n, 2 * n, p)
+    df = spark.createDataFrame(table, "doc_id long, text string")
+    out = chunks.duplicates(df).collect()
+    assert {r.doc_id: (r.n_words, r.kept_in, dict(table)[r.doc_id][r.begin : r.end]) for r in out} == want and len(out) == len(want)
+    kept = {r.doc_id: r.text for r in chunks.remove(df).collect()}
+    assert all(kept[d] == (t.replace(want[d][2], "") if d in want else t) for d, t in table)
+
+
 def test_names():
     assert common.free_name(["Size", "_size"], "size") == "__size"
