@@ -13,16 +13,26 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def use_checkpoints(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a local one is made only where the session names none (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``. Where the session names none, a local one is made in local mode (tests), and a cluster is an error: its executors share no such folder."""
     context = spark.sparkContext
     there = context.getCheckpointDir()
     if there:
         return there
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rasterloom-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="rasterloom-")
     context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store through the file system that Spark itself uses."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint: the files are shared, so a lost executor costs nothing."""
     use_checkpoints(df.sparkSession)
@@ -41,9 +51,14 @@ def slices(texts: list, budget: int = 1 << 21) -> Iterator[tuple[int, int]]:
         yield lo, len(texts)
 
 
+def column(name: str) -> Column:
+    """The column of that very name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def hash_mod(doc_id: str, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``; null for a null id."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % mod
+    return F.crc32(column(doc_id).cast("string").cast("binary")) % mod
 
 
 def free_name(taken: Iterable[str], wish: str) -> str:

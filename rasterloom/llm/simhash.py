@@ -1,12 +1,13 @@
 """SimHash near-duplicates with BK-trees.
 
-Fingerprints that differ in at most three of 64 bits agree in at least one of four
-16-bit bands. Every distinct fingerprint goes to its four shards (band, value); each
-shard holds a BK-tree whose children are keyed by their Hamming distance to the
-parent, and a search follows only the edges within the radius. A hot shard is split
-by the same argument on its remaining 48 bits, and one that is still hot into blocks
-that meet pairwise. The trees live where their shard is: broadcasting them all would
-send the corpus to each executor.
+A BK-tree's children are keyed by their Hamming distance to the parent, and a search
+follows only the edges within the radius. Up to BROADCAST distinct fingerprints make one
+tree, which is broadcast, and every fingerprint is looked up in it. All trees of a larger
+corpus together are as large as the corpus' fingerprints, so they can't be broadcast: there
+every fingerprint goes to four shards, by the value of each 16-bit band, and a shard's tree
+lives where the shard is. Fingerprints that differ in at most three bits agree in a band, so
+no pair is lost. A hot shard is split by the same argument on its remaining 48 bits, and one
+that is still hot into blocks that meet pairwise.
 """
 
 from __future__ import annotations
@@ -19,12 +20,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import column, cut, free_name
 
 SHINGLE = 3
 RADIUS = 3
 SEED = 42
-HOT = 512
+BROADCAST = 1 << 14  # distinct fingerprints, 8 bytes each, whose tree is broadcast
+HOT = 512  # fingerprints of a shard beyond which its other bits split it
 BLOCK = 4096
 
 
@@ -55,7 +57,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sh
             yield pa.record_batch([b.column(0), b.column(1), pa.array(out.view(np.int64))], ["doc_id", "place", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("place"), F.col(text).cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, place long, fp long")
+    return docs.select(column(id_col).alias("doc_id"), F.xxhash64(column(text)).alias("place"), column(text).cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, place long, fp long")
 
 
 class BKTree:
@@ -101,24 +103,27 @@ class BKTree:
 def spanning_links(values: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
     """Links (value, smallest value of its class) that connect what the pairs within the radius connect, within these values."""
     values = np.sort(values)
-    parent = list(range(len(values)))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    if len(values) == 2:
-        return [(int(values[1]), int(values[0]))] if int(values[0] ^ values[1]).bit_count() <= radius else []
-    for near, node in BKTree(values).links(values, radius):
-        b = find(node)
-        for q in near.tolist():
-            a = find(q)
+    return _spanning(values, values, BKTree(values).links(values, radius))
+
+
+def _spanning(queries: np.ndarray, values: np.ndarray, found) -> list[tuple[int, int]]:
+    """Links (value, smallest value of its class) that connect what ``found``, arrays of (query index, value index), connects."""
+    parent: dict[int, int] = {}
+
+    def root(v: int) -> int:
+        while (up := parent.get(v, v)) != v:
+            parent[v] = parent.get(up, up)
+            v = up
+        return v
+
+    for near, node in found:
+        b = root(int(values[node]))
+        for q in queries[near].tolist():
+            a = root(q)
             if a != b:
                 parent[max(a, b)] = min(a, b)
                 b = min(a, b)
-    return [(int(values[i]), int(values[r])) for i in range(len(values)) if (r := find(i)) != i]
+    return [(v, root(v)) for v in list(parent)]
 
 
 def _band(fp: Column, at: int, width: int) -> Column:
@@ -131,10 +136,13 @@ def _rest(fp: Column, band: int) -> Column:
     return F.shiftleft(F.shiftrightunsigned(fp, 16 * band + 16), 16 * band).bitwiseOR(fp.bitwiseAND(low)) if band < 3 else fp.bitwiseAND(low)
 
 
-def links(prints: DataFrame, radius: int = RADIUS, hot: int = HOT, block: int = BLOCK) -> DataFrame:
-    """(a, b): links between distinct fingerprints ``fp`` that span every class within a shard. All pairs within the radius are found; radius 3 at most."""
+def links(prints: DataFrame, radius: int = RADIUS, hot: int = HOT, block: int = BLOCK, broadcast: int = BROADCAST) -> DataFrame:
+    """(a, b): links between distinct fingerprints ``fp`` that span every class. All pairs within the radius are found; radius 3 at most."""
     if radius > 3:
         raise ValueError("four bands find pairs of up to three differing bits")
+    few = prints.select("fp").limit(broadcast + 1).toPandas()["fp"].to_numpy(np.int64) if broadcast else []
+    if 0 < len(few) <= broadcast:
+        return _tree_links(prints, np.sort(few.view(np.uint64)), radius)
     fp = F.col("fp")
     bands = F.array(*[F.struct(F.lit(k).alias("band"), _band(fp, 16 * k, 16).alias("value"), _rest(fp, k).alias("rest")) for k in range(4)])
     rows = prints.select("fp", F.explode(bands).alias("s")).select("fp", F.col("s.band").alias("band"), F.col("s.value").alias("value"), F.col("s.rest").alias("rest"))
@@ -183,6 +191,20 @@ def links(prints: DataFrame, radius: int = RADIUS, hot: int = HOT, block: int =
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _tree_links(prints: DataFrame, values: np.ndarray, radius: int) -> DataFrame:
+    """The links by one tree of all ``values``, a bounded number, broadcast."""
+    tree = prints.sparkSession.sparkContext.broadcast(BKTree(values))
+
+    def run(batches):
+        for b in batches:
+            queries = b.column(0).to_numpy().view(np.uint64)
+            found = _spanning(queries, tree.value.values, tree.value.links(queries, radius))
+            if found:
+                yield _pairs(found)
+
+    return prints.select("fp").mapInArrow(run, "a long, b long").distinct()
+
+
 def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     x = np.array(found, np.uint64).view(np.int64)
     return pa.record_batch([pa.array(x[:, 0].copy()), pa.array(x[:, 1].copy())], ["a", "b"])
@@ -191,14 +213,15 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) of every node in ``edges(a, b)``; root is the smallest node of its component.
 
-    Alternates large-star and small-star steps; each round's edges go to the checkpoint folder.
-    Both steps are a grouped minimum and a join, never a gathered neighbour list.
+    Alternates large-star and small-star steps until every node has one edge, to a node that has none upwards; each
+    round's edges go to the checkpoint folder. Both steps are a grouped minimum and a join, never a gathered neighbour list.
     """
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    state = lambda df: tuple(df.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first())
-    seen = state(now)
     for _ in range(rounds):
-        if not seen[0]:
+        ends = now.groupBy("u").agg(F.count("*").alias("n"))
+        # a node that is an upper end and not once, or that another node's edge leads to, is no leaf of a star
+        loose = ends.where("n > 1").select("u").union(ends.select("u").join(now.select(F.col("v").alias("u")), "u", "left_semi"))
+        if not loose.limit(1).count():
             break
         both = now.union(now.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -206,9 +229,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low).where("u <> v")
         now = cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        was, seen = seen, state(now)
-        if was == seen:
-            break
     else:
         raise RuntimeError(f"components: not settled after {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
@@ -219,7 +239,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     Null and empty texts and texts of blanks have fingerprint 0 and link as any other. component_id is the
     smallest doc_id reachable; null ids take part but never name a component unless it has no other.
-    Repeated rows stay; an empty table gives no rows; other columns are left behind.
+    A very long text is read whole by one task. Repeated rows stay; an empty table gives no rows; other columns are left behind.
     """
     return _rooted(docs, id_col, text, shingle, radius).drop("root")
 
@@ -237,15 +257,21 @@ def _rooted(docs: DataFrame, id_col: str, text: str, shingle: int, radius: int)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the row of the smallest id stays (then the smallest text hash), once. All columns are kept."""
+    """The rows of ``docs`` without near-duplicates: of each component the row of the smallest id stays (then the smallest text hash), once.
+
+    All columns are kept, whatever their names. Null, empty and blank texts are one component; of rows without ids one
+    stays for each component that has no id; of repeated rows one stays; an empty table gives no rows.
+    """
     all_ = _rooted(docs, id_col, text, shingle, radius)
     first = all_.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")).alias("s"))
     # components without any id share a null component_id: tell them apart by root
-    none = all_.where("component_id is null").groupBy("root").agg(F.min("place").alias("p_")).select(F.lit(None).cast(docs.schema[id_col].dataType).alias("k_"), "p_")
-    keep = first.where("component_id is not null").select(F.col("s.doc_id").alias("k_"), F.col("s.place").alias("p_")).union(none)
-    out = docs.withColumn("__place", F.xxhash64(text)).join(keep, F.col(id_col).eqNullSafe(F.col("k_")) & (F.col("__place") == F.col("p_")), "left_semi")
+    none = all_.where("component_id is null").groupBy("root").agg(F.min("place").alias("place")).select(F.lit(None).cast(docs.schema[id_col].dataType).alias("doc_id"), "place")
+    keep = first.where("component_id is not null").select("s.doc_id", "s.place").union(none)
+    held, place, nth = (free_name(docs.columns, x) for x in ("held_id", "held_place", "nth"))
+    keep = keep.select(F.col("doc_id").alias(held), F.col("place").alias(free_name([*docs.columns, held, place], "p")))
+    out = docs.withColumn(place, F.xxhash64(column(text))).join(keep, column(id_col).eqNullSafe(F.col(held)) & (F.col(place) == F.col(keep.columns[1])), "left_semi")
     repeated = all_.groupBy("doc_id", "place").count().where("count > 1").limit(1).count()
     if repeated:
-        w = Window.partitionBy(id_col, "__place").orderBy(F.lit(0))
-        out = out.withColumn("__nth", F.row_number().over(w)).where("__nth = 1").drop("__nth")
-    return out.drop("__place")
+        w = Window.partitionBy(column(id_col), place).orderBy(F.lit(0))
+        out = out.withColumn(nth, F.row_number().over(w)).where(F.col(nth) == 1).drop(nth)
+    return out.drop(place)
