@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import column
+
 FRAME = 576
 RATE = 8000
 #: Fixed values of the container format (RFC 3533).
@@ -92,11 +94,21 @@ def read_pages(data: bytes) -> Iterator[tuple[int, int, int, int, bytes, int]]:
 
 
 def demultiplex(data: bytes) -> dict[int, list[tuple[bytes, int]]]:
-    """Packets of each logical stream with the granule position known at their end (-1: none ended a page there)."""
+    """Packets of each logical stream with the granule position known at their end (-1: none ended a page there).
+
+    ValueError for pages out of order, marks of first and last pages that are wrong or missing, and packets that don't end.
+    """
     streams: dict[int, list] = {}
     rest: dict[int, bytearray] = {}
     due: dict[int, int] = {}
+    ended: set[int] = set()
     for kind, granule, serial, number, lacing, at in read_pages(data):
+        if serial in ended:
+            raise ValueError(f"stream {serial}: page {number} after its last page")
+        if bool(kind & FIRST) != (number == 0):
+            raise ValueError(f"stream {serial}: page {number} and its mark of a first page disagree")
+        if kind & LAST:
+            ended.add(serial)
         if number != due.get(serial, 0):
             raise ValueError(f"stream {serial}: page {number} where {due.get(serial, 0)} was due")
         due[serial] = number + 1
@@ -116,6 +128,8 @@ def demultiplex(data: bytes) -> dict[int, list[tuple[bytes, int]]]:
             packets[-1] = (packets[-1][0], granule)
     if rest:
         raise ValueError("a packet doesn't end")
+    if cut_off := sorted(due.keys() - ended):
+        raise ValueError(f"streams {cut_off} lack their last page")
     return streams
 
 
@@ -132,13 +146,17 @@ def encode(raw: bytes, frame: int = FRAME, rate: int = RATE) -> bytes:
 def decode(data: bytes) -> tuple[bytes, int, list[float], int]:
     """(payload, unpadded bytes, timestamps in seconds of the packets that end pages, sampling rate)."""
     streams = demultiplex(data)
+    if streams.keys() != {SAMPLES, LENGTH}:
+        raise ValueError(f"streams {sorted(streams)} where samples and length were due")
     head, *frames = streams[SAMPLES]
-    rate, _, _ = struct.unpack("<IHH", head[0][4:])
+    rate, frame, _ = struct.unpack("<IHH", head[0][4:])
     (n,) = struct.unpack("<Q", streams[LENGTH][0][0][4:])
     payload = b"".join(x for x, _ in frames)
     times = [g / rate for _, g in frames if g >= 0]
     if not times or round(times[-1] * rate) != len(payload):
         raise ValueError("the last granule position isn't the number of samples")
+    if len(payload) != max(1, -(-n // frame)) * frame or payload[n:].strip(b"\xff"):
+        raise ValueError(f"{len(payload)} samples don't hold {n} bytes and their padding")
     return payload, n, times, rate
 
 
@@ -151,7 +169,11 @@ def feature(payload: bytes, times: list[float]) -> str:
 
 
 def to_ogg(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, media): the text's UTF-8 in an Ogg container. Null and empty texts become one frame of 255. Repeated rows stay; other columns are left behind."""
+    """(doc_id, media): the text's UTF-8 in an Ogg container.
+
+    Null and empty texts become one frame of 255. A very long text becomes one long container, held whole by its task.
+    Repeated rows and null ids stay; other columns are left behind; an empty table gives no rows.
+    """
 
     def run(batches):
         for b in batches:
@@ -159,11 +181,15 @@ def to_ogg(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
             yield pa.record_batch([ids, pa.array([encode(x.as_buffer().to_pybytes() if x.is_valid else b"") for x in texts], pa.binary())], ["doc_id", "media"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, media binary")
+    return docs.select(column(id_col).alias("doc_id"), column(text).cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, media binary")
 
 
 def from_ogg(media: DataFrame) -> DataFrame:
-    """Read the stored bytes of ``media(doc_id, media)`` back: lengths, digests and a feature for each row. A null container gives nulls; a damaged one fails the job."""
+    """Read the stored bytes of ``media(doc_id, media)`` back: lengths, digests and a feature for each row.
+
+    A null container gives nulls; a damaged one, an empty one among them, fails the job. Repeated rows and null ids stay;
+    other columns are left behind; an empty table gives no rows.
+    """
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "seconds"]
 
     def run(batches):
