@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import column
+
 #: The four base patterns, in parts. Possessive forms match the same strings, without retries from inside a run.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -23,18 +25,31 @@ GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28
 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24
 XK20 YE30""".split()}
 _NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-KINDS = ("email", "ip", "card", "phone", "iban", "national_id")
+#: A name that says what follows is a secret, and 16 signs or more of it.
+_SECRET = re.compile(r"(?i)(?<![a-z])(?:token|secret|passw(?:or)?d|pwd|credential|(?:api|access|private|secret)[_ -]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([a-z0-9+/_.=-]{16,})")
+KINDS = ("email", "ip", "card", "phone", "iban", "national_id", "secret")
 BASE = 4  # the first four kinds are the base: they stay, whatever their score
-#: Prior score of a confirmed span of each kind; a context word nearby adds 0.3.
-PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.7, "phone": 0.7, "iban": 0.8, "national_id": 0.4}
+#: Prior score of a confirmed span of each kind. A word nearby that speaks for the kind adds 0.3, one that speaks against it takes 0.3 away.
+PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.7, "phone": 0.7, "iban": 0.8, "national_id": 0.4, "secret": 0.8}
 CONTEXT = {
-    "email": ("mail", "contact", "address"),
+    "email": ("mail", "email", "e-mail", "contact", "address"),
     "ip": ("ip", "host", "server", "address"),
     "card": ("card", "visa", "credit", "payment", "cvv"),
     "phone": ("phone", "call", "tel", "mobile", "fax"),
     "iban": ("iban", "bank", "account", "transfer"),
     "national_id": ("ssn", "social security", "national id"),
+    "secret": ("login", "auth", "bearer", "credentials"),
+}
+AGAINST = {
+    "email": (),
+    "ip": ("version", "release", "section"),
+    "card": ("order", "tracking", "isbn", "serial"),
+    "phone": ("order", "isbn", "serial"),
+    "iban": ("example", "serial", "product key"),
+    "national_id": ("order", "part", "serial", "isbn"),
+    "secret": ("example", "placeholder", "dummy"),
 }
+_NEARBY = {k: [re.compile(rf"(?<![^\W_])(?:{'|'.join(w)})(?![^\W_])") if w else None for w in (CONTEXT[k], AGAINST[k])] for k in KINDS}
 NEAR = 40  # signs before and after a span in which a context word counts
 LEAST = 0.5  # added kinds below this are dropped
 
@@ -93,6 +108,11 @@ def _ibans(text: str):
         at = found or begin + 4
 
 
+def _random(s: str) -> bool:
+    """The check of a secret: letters and digits, and eight signs that differ."""
+    return len(set(s)) >= 8 and any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
+
+
 def spans_of(text: str) -> list[tuple[int, int, str, float]]:
     """(begin, end, kind, score), by begin, then in the order of KINDS. Offsets are code points, end exclusive."""
     out: list[tuple[int, int, int]] = [(s, e, 0) for s, e in _emails(text)]
@@ -107,6 +127,7 @@ def spans_of(text: str) -> list[tuple[int, int, str, float]]:
         out += [(s, e, 4) for s, e in _ibans(text)]
         if "-" in text:
             out += [(m.start(), m.end(), 5) for m in _NATIONAL.finditer(text)]
+        out += [(m.start(1), m.end(1), 6) for m in _SECRET.finditer(text) if _random(m[1])]
     out.sort(key=lambda x: (x[0], x[2], x[1]))
     scored = [(s, e, KINDS[k], _score(text, s, e, KINDS[k])) for s, e, k in out]
     return [x for x in scored if x[2] in KINDS[:BASE] or x[3] >= LEAST]
@@ -114,14 +135,20 @@ def spans_of(text: str) -> list[tuple[int, int, str, float]]:
 
 def _score(text: str, begin: int, end: int, kind: str) -> float:
     near = (text[max(0, begin - NEAR) : begin] + " " + text[end : end + NEAR]).lower()
-    return min(1.0, PRIOR[kind] + 0.3 * any(w in near for w in CONTEXT[kind]))
+    up, down = (bool(w and w.search(near)) for w in _NEARBY[kind])
+    return round(min(1.0, PRIOR[kind] + 0.3 * up - 0.3 * down), 2)
 
 
 _SPAN = "array<struct<begin:int,end:int,kind:string,score:double>>"
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, detections): for each row of ``docs`` its spans. Null and empty texts have none; repeated rows stay; other columns are left behind."""
+    """(doc_id, detections): for each row of ``docs`` its spans, with scores.
+
+    Null and empty texts have none; a very long text is read whole by one task; overlapping spans all stay, and of those
+    with one beginning the kinds go in the order of KINDS; repeated rows and null ids stay; other columns are left behind;
+    an empty table gives no rows.
+    """
 
     def run(batches):
         for b in batches:
@@ -130,16 +157,16 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
             yield pa.record_batch([b.column(0), pa.array(found, kind)], ["doc_id", "detections"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, detections {_SPAN}")
+    return docs.select(column(id_col).alias("doc_id"), column(text).alias("text")).mapInArrow(run, f"doc_id {kind}, detections {_SPAN}")
 
 
 def summary(found: DataFrame) -> DataFrame:
-    """Counts and digests of ``detections``."""
+    """Counts and digests of ``detections``, and the scores of all spans, in their order. A row without detections has counts of 0 and empty texts."""
     name = lambda x: F.concat_ws(":", x["kind"], x["begin"].cast("string"), x["end"].cast("string"))
     base = F.filter("detections", lambda x: x["kind"].isin(*KINDS[:BASE]))
     joined = lambda a: F.array_join(F.transform(a, name), ",")
     count = lambda k: F.size(F.filter("detections", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *[count(k) for k in KINDS[:BASE]], F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("detections")).alias("spans"))
+    return found.select("doc_id", *[count(k) for k in KINDS[:BASE]], F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("detections")).alias("spans"), F.array_join(F.transform("detections", lambda x: F.format_number(x["score"], 2)), ",").alias("scores"))
 
 
 def redacted(text: str) -> str:
@@ -153,13 +180,13 @@ def redacted(text: str) -> str:
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the personal data in ``text`` replaced; null stays null, and all columns stay in place."""
+    """``docs`` with the personal data in ``text`` replaced; null stays null, and all rows and columns stay in place, whatever their names."""
 
     @F.arrow_udf("string")
     def clean(texts):
         return pa.array((redacted(t.as_py()) if t.is_valid else None for t in texts), pa.string())
 
-    return docs.withColumn(text, clean(F.col(text)))
+    return docs.withColumn(text, clean(column(text)))
 
 
 def digest(spans: list[tuple[int, int, str, float]]) -> str:
