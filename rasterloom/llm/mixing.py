@@ -20,13 +20,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, free_name
+from .common import column, cut, free_name, WORD
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 REPEATS = 2
 SHARD_WORDS = 1 << 16
-MAX_SHARDS = 4096
+MAX_SHARDS = 1 << 17  # of a source; beyond SHARD_WORDS * MAX_SHARDS words its shards grow
+MANY_SOURCES = 100_000  # beyond, the plan is joined by a shuffle instead of broadcast
+MOST_SOURCES = 2_000_000  # rows of sources that the driver takes; more are an error
 MAX_BLOCK = 64
 
 
@@ -104,20 +106,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     it returns the columns of ``docs`` and then size, source_size, target and taken (with underscores before a name
     that is taken); the rows then go through the one shuffle by shard whole.
     A null text has size 0 and gives nothing; a null source is a source of its own, the last;
-    repeated rows are separate documents; an empty table gives no rows. Columns of ``docs``
+    repeated rows are separate documents, and rows that tie in every way share their place in the order as they come;
+    a document of any length is one narrow row; an empty table gives no rows. Columns of ``docs``
     other than the three named are not looked at, so clashing names do no harm. Reruns on the
     same rows give the same numbers, however the rows are partitioned.
     """
-    kept = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)] if carry else []
+    kept = [column(c).alias(f"c{i}") for i, c in enumerate(docs.columns)] if carry else []
     narrow = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.col(source).alias("source"),
-        F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.lit(seed), F.col(id_col), F.col(text)).alias("place"),
+        column(id_col).alias("doc_id"),
+        column(source).alias("source"),
+        F.coalesce(F.regexp_count(column(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.xxhash64(F.lit(seed), column(id_col), column(text)).alias("place"),
         *kept,
     )
     narrow = narrow if carry else cut(narrow)
-    sizes = [(r[0], r[1]) for r in narrow.groupBy("source").agg(F.sum("size")).collect()]  # a row for each source
+    sizes = [(r[0], r[1]) for r in narrow.groupBy("source").agg(F.sum("size")).limit(MOST_SOURCES + 1).collect()]  # a row for each source
+    if len(sizes) > MOST_SOURCES:
+        raise ValueError(f"the driver apportions {MOST_SOURCES} sources at most")
     want = targets(sizes, weights, share, repeats)
     least = min((t for t in want.values() if t > 0), default=0)
     block = max(1, min(MAX_BLOCK, int(least / 1000)))
@@ -125,7 +130,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
 
     spark = docs.sparkSession
     plan = spark.createDataFrame([(s, n, want[s], shards[s]) for s, n in sizes], "source string, source_size long, target double, shards int")
-    rows = narrow.join(F.broadcast(plan), narrow["source"].eqNullSafe(plan["source"])).drop(plan["source"])
+    rows = narrow.join(F.broadcast(plan) if len(sizes) <= MANY_SOURCES else plan, narrow["source"].eqNullSafe(plan["source"])).drop(plan["source"])
     rows = rows.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
     rows = rows.withColumn("shard", F.pmod("place", "shards").cast("int"))
 
