@@ -4,16 +4,21 @@ The kernel of two words is the sum, over the letter triples that both hold as
 subsequences, of the product of their weights, over both words' lengths; a triple that spans s letters weighs
 DECAY**s, and spans over WINDOW count nothing. An insult with gaps or inserted signs
 so keeps most of its triples. Nyström: words are mapped to their kernels with a few
-landmark words, whitened, and a linear machine is trained on that. As the kernel is an
-inner product of triple weights, the trained machine folds into one table of weights by
-triple, so scoring a word takes one look-up per triple, whatever the number of
-landmarks. A text scores as its worst word.
+landmark words.
+
+Two linear machines are trained. The first tells words: as the kernel is an inner product
+of triple weights, it folds into one table of weights by triple, so a word takes one look-up
+per triple, whatever the number of landmarks. The words it suspects, a few of each text, are
+compared with the landmarks; a text's row has, for each landmark, its words' greatest kernel
+with it and the share of its words that are like it. The second machine, on the labelled
+texts' rows, learns which words condemn a text by themselves and which only in numbers.
 """
 
 from __future__ import annotations
 
 import re
 import sys
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -21,27 +26,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hash_mod, slices
+from .common import column, cut, hash_mod, slices
 
 WINDOW = 7
 DECAY = 0.7
 LETTERS = 32
 LONGEST = 24
+SUSPECTS = 0.06  # share of the harmless words that the first machine lets through to be compared with the landmarks
 LANDMARKS = 140
+ROUNDS = 2
+FIRST = 4  # words of a harmless text that bound the machine from the start
+HARDER = 70  # landmarks that each round adds
 SAMPLE = 2000  # labelled rows of each class, at most
 _SPACED = re.compile(r"(?<!\S)\S(?:\s\S){3,}(?!\S)")
 _PAIRS = [(a, b, DECAY ** (b + 1)) for b in range(2, WINDOW) for a in range(1, b)]
 
 
-def words_of(text: str) -> set[str]:
-    """The distinct lower-case words; runs of four or more single signs also count as one word together; long words are cut in overlapping parts."""
+def words_of(text: str) -> Counter:
+    """The lower-case words and how often each stands; runs of four or more single signs also count as one word together; long words are cut in overlapping parts."""
     low = text.lower()
-    words = set(low.split())
+    words = Counter(low.split())
     for m in _SPACED.finditer(low):
-        words.add("".join(m[0].split()))
+        words["".join(m[0].split())] += 1
     for w in [w for w in words if len(w) > LONGEST]:
-        words.discard(w)
-        words.update(w[i : i + LONGEST] for i in range(0, len(w) - LONGEST // 2, LONGEST // 2))
+        n = words.pop(w)
+        for i in range(0, len(w) - LONGEST // 2, LONGEST // 2):
+            words[w[i : i + LONGEST]] += n
     return words
 
 
@@ -70,7 +80,7 @@ def triples(words: list[str]):
 
 def lengths(words: list[str]) -> np.ndarray:
     """The length of each word's vector of triple weights. Equal triples within a word, which are rare, count apart."""
-    out = np.full(len(words), 1e-9)
+    out = np.full(len(words), 1e-18)
     for own, _, weight in triples(words):
         out += np.bincount(own, minlength=len(words)) * weight**2
     return np.sqrt(out)
@@ -90,34 +100,61 @@ def kernels(words: list[str], marks: np.ndarray) -> np.ndarray:
     out = np.zeros((len(words), len(marks)))
     for i in range(0, len(words), 1000):
         part = words[i : i + 1000]
+        squares = np.full(len(part), 1e-18)
         for own, code, weight in triples(part):
             first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
             if len(own):
-                out[i + own[first]] += weight * np.add.reduceat(by_triple[code], first)
-        out[i : i + 1000] /= lengths(part)[:, None]
+                out[i + own[first]] += np.float32(weight) * np.add.reduceat(by_triple[code], first)
+                squares += np.bincount(own, minlength=len(part)) * weight**2
+        out[i : i + 1000] /= np.sqrt(squares)[:, None]
     return out
 
 
 def folded(words: list[str], table: np.ndarray) -> np.ndarray:
     """The sum of ``table`` over each word's weighted triples, over its length: the machine's value, but for its offset."""
-    out = np.zeros(len(words))
+    out, squares = np.zeros(len(words)), np.full(len(words), 1e-18)
     for own, code, weight in triples(words):
-        out += np.bincount(own, weight * table[code], len(words))
-    return out / lengths(words)
+        out += np.bincount(own, table[code], len(words)) * weight
+        squares += np.bincount(own, minlength=len(words)) * weight**2
+    return out / np.sqrt(squares)
 
 
 class Machine:
-    """The folded weights, and the slope and offset that turn a text's worst word into a probability."""
-
-    def __init__(self, table: np.ndarray, slope: float, offset: float):
-        self.table, self.slope, self.offset = table.astype(np.float32), slope, offset
+    """The first machine's table; the landmarks' triple weights, of the triples that they have; the value above which a word is suspect; the second machine's weights; slope and offset to a probability."""
+
+    def __init__(self, table: np.ndarray, marks: np.ndarray, cut: float, weights: np.ndarray, slope: float, offset: float):
+        self.table, self.cut, self.weights, self.slope, self.offset = table.astype(np.float32), cut, weights, slope, offset
+        self.codes = np.flatnonzero(marks.any(0))
+        self.marks = np.ascontiguousarray(marks[:, self.codes])
+
+    @classmethod
+    def constant(cls, share: float) -> Machine:
+        share = float(np.clip(share, 1e-6, 1 - 1e-6))
+        return cls(np.zeros(LETTERS**3), np.zeros((0, LETTERS**3), np.float32), 0.0, np.zeros(0), 0.0, float(np.log(share / (1 - share))))
+
+    def rows(self, texts: list[Counter]) -> np.ndarray:
+        """A row for each text, whose words are given: for each landmark the greatest kernel, squared and to the fourth, and the root of the share of words like it."""
+        n = len(self.marks)
+        out = np.zeros((len(texts), 3 * n))
+        words = list(set().union(*texts)) if texts and n else []
+        if not words:
+            return out
+        suspect = np.flatnonzero(folded(words, self.table) > self.cut).tolist()
+        number = {words[i]: k for k, i in enumerate(suspect)}
+        marks = np.zeros((n, LETTERS**3), np.float32)
+        marks[:, self.codes] = self.marks
+        like = np.clip(kernels(list(number), marks), 0, 1) ** 2
+        for row, text in zip(out, texts, strict=True):
+            if found := text.keys() & number.keys():
+                which, times = [number[w] for w in found], np.array([text[w] for w in found])
+                row[:n] = like[which].max(0)
+                row[n : 2 * n] = row[:n] ** 2
+                row[2 * n :] = np.sqrt(50 * (like[which] ** 2 * times[:, None]).sum(0) / (sum(text.values()) + 20))
+        return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        sets = [words_of(t) for t in texts]
-        number = {w: i for i, w in enumerate(set().union(*sets))} if sets else {}
-        value = folded(list(number), self.table) if number else np.zeros(0)
-        worst = np.array([max(value[[number[w] for w in s]].max(), 0.0) if s else 0.0 for s in sets])
-        return 1 / (1 + np.exp(-np.clip(self.slope * worst + self.offset, -40, 40)))
+        value = self.rows([words_of(t) for t in texts]) @ self.weights if len(self.weights) else np.zeros(len(texts))
+        return 1 / (1 + np.exp(-np.clip(self.slope * value + self.offset, -40, 40)))
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 3000.0, steps: int = 500) -> tuple[np.ndarray, float]:
@@ -133,55 +170,58 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 3000.0, st
     return w[:-1], float(w[-1])
 
 
-def train(bags: list[tuple[set[str], int]], landmarks: int = LANDMARKS, rounds: int = 2) -> Machine:
-    """Fit on (words, label) of labelled texts: a toxic text's worst word is its witness, all words of others are harmless.
+def sureness(pos: list[Counter], neg: list[Counter]) -> dict[str, float]:
+    """Of the words that tell toxic texts how surely: the lower bound, two deviations down, of the logarithm of their share of toxic texts over that of harmless ones, where it is over 0. Words of one or two letters don't count."""
+    held, calm = Counter(w for b in pos for w in b if len(w) > 2), Counter(w for b in neg for w in b)
+    bound = lambda a, b: float(np.log(a / (len(pos) + 1) * (len(neg) + 1) / b) - 2 * (1 / a + 1 / b) ** 0.5)
+    sure = {w: bound(n + 0.5, calm[w] + 0.5) for w, n in held.items()}
+    return {w: v for w, v in sure.items() if v > 0}
+
+
+def train(texts: list[tuple[Counter, int]], landmarks: int = LANDMARKS, rounds: int = ROUNDS, first: int = FIRST, harder: int = HARDER) -> Machine:
+    """Fit both machines on (words, label) of labelled texts. Texts of the same words count once; ties go by the alphabet.
 
-    With one class only, or none, every score is the share of that class (0.5 for none).
+    The first machine's rows are words: the ``landmarks`` surest, of each toxic text the one it calls worst among those that
+    tell toxic texts (before the first round the surest), and of each harmless text the ``first`` words of least hash and each round's worst one.
+    Its landmarks are the surest words, common ones for the last quarter, and each round ``harder`` harmless words that it
+    called worst. The second machine's rows are all the texts, its landmarks the ``landmarks`` surest words. With one class only, with none, or
+    without a word that tells, every score is the share of the toxic texts (0.5 for none).
     """
-    pos, neg = [b for b, y in bags if y], [b for b, y in bags if not y]
-    if not pos or not neg:
-        p = 0.5 if not bags else (1 - 1e-6 if pos else 1e-6)
-        return Machine(np.zeros(LETTERS**3), 0.0, float(np.log(p / (1 - p))))
-    seen: dict[str, list[int]] = {}
-    for bag, y in bags:
-        for w in bag:
-            if len(w) > 2:
-                seen.setdefault(w, [0, 0])[y] += 1
+    texts = [(Counter(dict(b)), y) for y, b in sorted({(y, tuple(sorted(b.items()))) for b, y in texts})]
+    pos, neg = [b for b, y in texts if y], [b for b, y in texts if not y]
     p, n = len(pos), len(neg)
-    lift = lambda w: (seen[w][1] / p) * np.log(((seen[w][1] + 0.5) / (p + 1)) / ((seen[w][0] + 0.5) / (n + 1)))
-    toxic = sorted((w for w, c in seen.items() if c[1] * n > 4 * c[0] * p), key=lambda w: (-lift(w), w))
-    common = sorted((w for w, c in seen.items() if c[0]), key=lambda w: (-seen[w][0], w))
-    marks = toxic[: landmarks * 3 // 4] + common[: landmarks // 4]
-    rank = {w: lift(w) for w in toxic}
-    harmless = sorted(w for w, c in seen.items() if c[0])
-    witness = [max(sorted(b), key=lambda w: rank.get(w, 0.0), default="") for b in pos]
-    negatives = set(harmless[:: max(1, len(harmless) // 4000)]) | set(common[:500])
+    rank = sureness(pos, neg) if p and n else {}
+    if not rank:
+        return Machine.constant(p / len(texts) if texts else 0.5)
+    surest = sorted(rank, key=lambda w: (-rank[w], w))
+    calm = Counter(w for b in neg for w in b if len(w) > 2)
+    marks = surest[: landmarks * 3 // 4] + sorted(calm.keys() - set(surest), key=lambda w: (-calm[w], w))[: landmarks // 4]
+    every = sorted({w for b, _ in texts for w in b})
+    worst = lambda b, value: max(sorted(w for w in b if w in value), key=value.__getitem__, default="")
+    rows = [worst(b, rank) for b in pos]
+    bounds = {w for b in neg for w in sorted((w for w in b if len(w) > 2), key=lambda w: zlib.crc32(w.encode("utf-8", "surrogatepass")))[:first]}
     for _ in range(rounds):
         z = features(marks)
         vals, vecs = np.linalg.eigh((z @ z.T).astype(float))
         root = vecs / np.sqrt(np.maximum(vals, 1e-3))  # whitens the kernels with the landmarks
-        good = sorted({w for w in witness if w})
-        bad = sorted(negatives - set(good))
+        times = Counter([*(w for w in rows if w), *surest[:landmarks]])
+        good = sorted(times)
+        bad = sorted(bounds - set(good))
         x, y = kernels(good + bad, z) @ root, np.r_[np.ones(len(good)), -np.ones(len(bad))]
-        times = Counter(witness)
         share = np.array([times[w] ** 0.5 for w in good])
-        weight = np.r_[share / max(1e-9, share.sum()), np.full(len(bad), 1 / max(1, len(bad)))]
+        weight = np.r_[share / share.sum(), np.full(len(bad), 1 / max(1, len(bad)))]
         w, _ = _svm(x, y, weight)
         fold = (z.T @ (root @ w).astype(np.float32)).astype(float)
-        value = folded(harmless, fold)
-        hardest = [harmless[i] for i in np.argsort(-value, kind="stable")]
-        negatives |= set(hardest[:1500])
-        marks += [h for h in hardest[:200] if h not in set(marks)][: landmarks // 2]  # the machine needs directions to tell them apart
-        every = sorted(set().union(*pos))
-        of = dict(zip(every, folded(every, fold), strict=True))
-        # only words that are commoner in toxic texts can be witnesses: others would drag their like with them
-        witness = [max(sorted(x for x in b if x in rank), key=of.__getitem__, default="") for b in pos]
-    raw = Machine(fold, 1.0, 0.0)
-    worst = np.array([max(max((of[w] for w in b), default=0.0), 0.0) for b in pos])
-    calm_of = dict(zip(harmless, value, strict=True))
-    calm = np.array([max(max((calm_of.get(w, 0.0) for w in b), default=0.0), 0.0) for b in neg])
-    raw.slope, raw.offset = _cut(np.r_[worst, calm], np.r_[np.ones(p), np.zeros(n)])
-    return raw
+        value = dict(zip(every, folded(every, fold).tolist(), strict=True))
+        rows = [worst(b, {w: value[w] for w in rank.keys() & b.keys()}) for b in pos]
+        hard = {w for b in neg if (w := worst(b, {w: value[w] for w in b if len(w) > 2}))}
+        bounds |= hard
+        marks += sorted(hard - set(marks), key=lambda w: (-value[w], w))[:harder]  # the machine needs directions to tell them apart
+    machine = Machine(fold, features(surest[:landmarks]), float(np.quantile([value[w] for w in calm], 1 - SUSPECTS)) if calm else 0.0, np.zeros(0), 1.0, 0.0)
+    x, y = machine.rows([*pos, *neg]), np.r_[np.ones(p), -np.ones(n)]
+    machine.weights, _ = _svm(x, y, np.full(p + n, 1 / (p + n)), c=300.0, steps=300)
+    machine.slope, machine.offset = _cut(x @ machine.weights, (y > 0).astype(float))
+    return machine
 
 
 def _cut(value: np.ndarray, label: np.ndarray) -> tuple[float, float]:
@@ -200,31 +240,32 @@ def _cut(value: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 def labelled(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int, sample: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(text, label) of at most ``sample`` rows of each class, by the hash of the id: labelled, and not held out.
 
-    Of several labels of one id the greatest counts. The sample of ids is bounded, and so may be broadcast.
+    Of several labels of one id the greatest counts, of several rows the one whose text has the least hash. The sample of
+    ids is bounded, and so may be broadcast.
     """
     ids = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (hash_mod("doc_id", mod) != held)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     part = lambda y: ids.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     some = cut(part(0).union(part(1)).withColumnRenamed("doc_id", "labelled_id"))
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(some), F.col("doc_id") == F.col("labelled_id")).select("doc_id", "text", "y")
+    rows = docs.select(column(id_col).alias("doc_id"), column(text).alias("text")).join(F.broadcast(some), F.col("doc_id") == F.col("labelled_id"))
+    return rows.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "y")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Machine:
-    """Train on a bounded sample of the labelled rows whose crc32(id) mod 5 is not 0: only their distinct words come to the driver."""
+    """Train on a bounded sample, ``sample`` rows of each class, of the labelled rows whose crc32(id) mod 5 is not 0: only their words and counts come to the driver."""
     rows = labelled(docs, labels, label, 5, 0, sample, id_col, text)
 
     def run(batches):
         for b in batches:
-            sets = [" ".join(sorted(words_of(t or ""))) for t in b.column("text").to_pylist()]
-            yield pa.record_batch([b.column("doc_id"), pa.array(sets, pa.string()), b.column("y")], ["doc_id", "words", "y"])
+            found = [sorted(words_of(t or "").items()) for t in b.column("text").to_pylist()]
+            words, times = [" ".join(w for w, _ in f) for f in found], [[n for _, n in f] for f in found]
+            yield pa.record_batch([pa.array(words, pa.string()), pa.array(times, pa.list_(pa.int32())), b.column("y")], ["words", "times", "y"])
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    got = rows.mapInArrow(run, f"doc_id {kind}, words string, y int").collect()
-    got.sort(key=lambda r: (r.doc_id, r.words))
-    return train([(set(map(sys.intern, r.words.split())), r.y) for r in got])
+    got = rows.mapInArrow(run, "words string, times array<int>, y int").collect()
+    return train([(Counter(dict(zip(map(sys.intern, r.words.split(" ")), r.times, strict=True)) if r.times else {}), r.y) for r in got])
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, score): a row for each row of ``docs``. Null and empty texts score as texts without a bad word; whole texts are read; other columns are left behind."""
+    """(doc_id, score): a row for each row of ``docs``. Null and empty texts score as texts without a bad word; whole texts are read, very long ones too; repeated rows and null ids stay, with equal scores; other columns are left behind; an empty table gives no rows."""
 
     def run(batches):
         for b in batches:
@@ -233,4 +274,4 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text: str =
             yield pa.record_batch([b.column(0), pa.array(np.concatenate(out) if out else np.zeros(0))], ["doc_id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
+    return docs.select(column(id_col).alias("doc_id"), column(text).alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
