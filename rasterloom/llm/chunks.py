@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import column, cut, free_name
 
 MEAN = 32  # bytes in a chunk, on average
 LEAST_WORDS = 51  # words of the shortest passage that counts
@@ -120,7 +120,7 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lea
                     yield pa.record_batch([pa.array(key), part.column(0).take(take), part.column(1).take(take), *(pa.array(v.astype(np.int32)) for v in (begin, end, word, width)), *packed], ["key", "doc_id", "place", "begin", "end", "word", "width", "digests", "begins", "ends"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("place"), F.col(text).cast("binary").alias("text")).mapInArrow(run, f"key long, doc_id {kind}, place long, begin int, end int, word int, width int, digests binary, begins binary, ends binary")
+    return docs.select(column(id_col).alias("doc_id"), F.xxhash64(column(text)).alias("place"), column(text).cast("binary").alias("text")).mapInArrow(run, f"key long, doc_id {kind}, place long, begin int, end int, word int, width int, digests binary, begins binary, ends binary")
 
 
 def _repeated(digests: bytes, doc: tuple, word: int, seen: dict, least_words: int) -> list[tuple[int, int, object]]:
@@ -192,7 +192,7 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", leas
     byte for byte from its first word to its last, counts. Its first place, by doc_id (null last), then byte, is
     kept, and kept_in names the document of the span's first passage. A document that repeats a passage of its own, without
     overlap, is listed too. Null and shorter texts have no spans; repeated rows with one id and text count as one;
-    an empty table gives no rows; other columns are left behind.
+    an empty table gives no rows; other columns are left behind. A very long text goes in parts of SEGMENT bytes.
     """
     later = repeats(occurrences(docs, id_col, text, least_words), least_words)
     w = Window.partitionBy("doc_id", "place").orderBy("begin", "end")
@@ -203,16 +203,21 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", leas
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """``docs`` with the repeated spans cut out of ``text``. A cut inside a letter of several bytes moves to its end; null stays null."""
-    spans = cut(duplicates(docs, id_col, text, least_words)).groupBy(F.col("doc_id").alias("d_"), F.col("place").alias("p_")).agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("s_"))
+    """``docs`` with the repeated spans cut out of ``text``. A cut inside a letter of several bytes moves to its end; null stays null.
+
+    Every row stays, repeated rows with the same cuts; texts without a repeated span, empty ones and short ones among them,
+    stay as they are; other columns stay, whatever their names; an empty table gives no rows.
+    """
+    own, doc, place, held = (free_name(docs.columns, x) for x in ("own_place", "span_doc", "span_place", "span_list"))
+    spans = cut(duplicates(docs, id_col, text, least_words)).groupBy(F.col("doc_id").alias(doc), F.col("place").alias(place)).agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias(held))
 
     @F.pandas_udf("string")
     def without(texts, spans):
         return texts.to_frame("t").assign(s=spans).apply(lambda r: r.t if r.t is None or r.s is None else _without(r.t, r.s), axis=1) if len(texts) else texts
 
-    marked = docs.withColumn("__p", F.xxhash64(text))
-    out = marked.join(spans, F.col(id_col).eqNullSafe(F.col("d_")) & (F.col("__p") == F.col("p_")), "left")
-    return out.withColumn(text, F.when(F.col("s_").isNull(), F.col(text)).otherwise(without(F.col(text), F.col("s_")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    marked = docs.withColumn(own, F.xxhash64(column(text)))
+    out = marked.join(spans, column(id_col).eqNullSafe(F.col(doc)) & (F.col(own) == F.col(place)), "left")
+    return out.withColumn(text, F.when(F.col(held).isNull(), column(text)).otherwise(without(column(text), F.col(held)))).select(*[column(c) for c in docs.columns])
 
 
 def _without(text: str, spans) -> str:

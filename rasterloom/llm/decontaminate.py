@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import column, cut, slices
 
 WINDOW = 13
 BLOCK_WORDS = 4_000_000  # 16 MB of numbers, and a vocabulary
@@ -223,7 +223,7 @@ def find(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text: str =
     Of equally long matches with an item the first in the document counts. Other columns of ``docs`` are left behind.
     """
     keep = keep or [id_col]
-    df = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).cast("binary").alias("__text"), F.lit(0).cast("long").alias("__n_words"), F.lit(None).cast("array<bigint>").alias("__spans"), F.lit(None).cast("array<string>").alias("__items"), F.lit(None).cast("array<struct<item:string,begin:bigint,item_begin:bigint,words:bigint>>").alias("__matches"))
+    df = docs.select(*[column(c) for c in keep], column(text).cast("binary").alias("__text"), F.lit(0).cast("long").alias("__n_words"), F.lit(None).cast("array<bigint>").alias("__spans"), F.lit(None).cast("array<string>").alias("__items"), F.lit(None).cast("array<struct<item:string,begin:bigint,item_begin:bigint,words:bigint>>").alias("__matches"))
     block, any_ = Block(window), False
     for row in bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.coalesce(F.col("text"), F.lit("")).alias("t")).distinct().orderBy("i", "t").toLocalIterator():
         if len(block) >= BLOCK_WORDS:  # a further block: what the one before found is written, so that a task never holds two
@@ -234,7 +234,7 @@ def find(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text: str =
     hits = F.aggregate("__spans", F.struct(F.lit(0).cast("long").alias("s"), F.lit(-1).cast("long").alias("f")), lambda a, x: F.struct((a["s"] + x * a["f"]).alias("s"), (-a["f"]).alias("f")), lambda a: a["s"])
     df = df.withColumn("__hit", F.coalesce(hits, F.lit(0).cast("long"))).withColumn("__items", F.coalesce("__items", F.array().cast("array<string>")))
     return df.select(
-        *([F.col(id_col).alias("doc_id")] if keep == [id_col] else [F.col(f"`{c}`") for c in keep]),
+        *([column(id_col).alias("doc_id")] if keep == [id_col] else [column(c) for c in keep]),
         F.col("__n_words").alias("n_words"),
         F.col("__hit").alias("n_hit"),
         F.size("__items").cast("long").alias("n_items"),
@@ -249,7 +249,7 @@ def find(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text: str =
 
 def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns, whatever their names. Null, empty, long and repeated texts as in ``find``."""
-    found = find(docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]), bench, f"c{docs.columns.index(id_col)}", f"c{docs.columns.index(text)}", window, [f"c{i}" for i in range(len(docs.columns))])
+    found = find(docs.select(*[column(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]), bench, f"c{docs.columns.index(id_col)}", f"c{docs.columns.index(text)}", window, [f"c{i}" for i in range(len(docs.columns))])
     return found.where("not contaminated").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 

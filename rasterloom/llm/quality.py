@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import column, slices
 from .strings import labelled
 
 BUCKETS = 1 << 13
@@ -79,7 +79,7 @@ class FactorisationMachine:
 
 
 def train(rows: list[tuple[tuple[list[int], list[float]], int]], rank: int = RANK, epochs: int = EPOCHS, rate: float = 0.1, penalty: float = 2e-4, seed: int = 7) -> FactorisationMachine:
-    """Logistic loss by AdaGrad, classes weighted equally, then the bias moved to the share of the classes. One class or none: its share (0.5 for none) is every score."""
+    """Logistic loss by AdaGrad, the classes weighted equally. One class or none: its share (0.5 for none) is every score."""
     rng = np.random.default_rng(seed)
     w, v = np.zeros(SIZE), rng.normal(0, 0.02, (SIZE, rank))
     labels = np.array([y for _, y in rows], float)
@@ -116,18 +116,18 @@ def described(docs: DataFrame, *extra: str, id_col: str, text: str) -> DataFrame
 
     kind = docs.schema[id_col].dataType.simpleString()
     more = "".join(f", {e} {docs.schema[e].dataType.simpleString()}" for e in extra)
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("binary").alias("text"), *extra).mapInArrow(run, f"doc_id {kind}, at array<int>, value array<double>{more}")
+    return docs.select(column(id_col).alias("doc_id"), column(text).cast("binary").alias("text"), *extra).mapInArrow(run, f"doc_id {kind}, at array<int>, value array<double>{more}")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> FactorisationMachine:
-    """Train on a bounded sample of the labelled rows whose crc32(id) mod 4 is not 2; only their features come to the driver."""
+    """Train on a bounded sample, ``sample`` rows of each class, of the labelled rows whose crc32(id) mod 4 is not 2; only their features come to the driver. No labels: every score is 0.5."""
     got = described(labelled(docs, labels, label, 4, 2, sample, id_col, text), "y", id_col="doc_id", text="text").collect()
     got.sort(key=lambda r: (r.doc_id, r.at, r.value))
     return train([((list(r.at), list(r.value)), r.y) for r in got])
 
 
 def score(docs: DataFrame, machine: FactorisationMachine, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, score): a row for each row of ``docs``. A null text scores as an empty one; whole texts are read; other columns are left behind."""
+    """(doc_id, score): a row for each row of ``docs``. A null text scores as an empty one; whole texts are read, very long ones too; repeated rows and null ids stay, with equal scores; other columns are left behind; an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast((machine.bias, machine.w, machine.v))  # SIZE * (RANK + 1) numbers
 
     def run(batches):
@@ -138,11 +138,11 @@ def score(docs: DataFrame, machine: FactorisationMachine, id_col: str = "doc_id"
             yield pa.record_batch([b.column(0), pa.array(np.concatenate(out) if out else np.zeros(0))], ["doc_id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
+    return docs.select(column(id_col).alias("doc_id"), column(text).cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
 
 
 def accepted(docs: DataFrame, machine: FactorisationMachine, text: str = "text", least: float = ACCEPT) -> DataFrame:
-    """The rows of ``docs`` that score ``least`` or more, all columns as they were."""
+    """The rows of ``docs`` that score ``least`` or more, ties with it among them, all columns as they were, whatever their names. Null texts score as empty ones; repeated rows stay or go together; an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast((machine.bias, machine.w, machine.v))
 
     @F.arrow_udf("double")
@@ -151,7 +151,7 @@ def accepted(docs: DataFrame, machine: FactorisationMachine, text: str = "text",
         out = [_logistic(machine.margins([describe(x.as_buffer().to_pybytes() if x.is_valid else b"")]))[0] for x in texts]  # a text at a time: a batch is large
         return pa.array(out, pa.float64())
 
-    return docs.where(judge(F.col(text)) >= least)
+    return docs.where(judge(column(text)) >= least)
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
