@@ -22,9 +22,9 @@ def op3_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = warc.archive_path(spark)
-    warc.write(table(spark, sf_dir, "pages"), path)
-    return warc.read(spark, path).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    path, pages = warc.archive_path(spark), table(spark, sf_dir, "pages")
+    warc.write(pages, path)
+    return warc.read(spark, path, pages.schema["page_id"].dataType.simpleString()).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op5_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,4 +59,34 @@ def op10_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_sainte_lague_mix, op2_ogg_media, op3_simhash_bktree, op4_warc_chain, op5_string_kernel_toxicity, op6_chat_grammar, op7_suffix_array_decontamination, op8_pii_spans, op9_factorisation_quality, op10_gear_chunks)}
-ORACLE_SQL: dict[str, str] = {}
+
+# The results that SQL can express, for another engine.
+_B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_warc_chain": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+ f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p),
+ g AS (SELECT *, first IS NOT NULL AND page_id IS DISTINCT FROM first AS again FROM f)
+SELECT page_id, octet_length(encode(body))::BIGINT AS payload_bytes,
+ list_aggregate(list_transform(range(8), lambda i: list_aggregate(list_transform(range(4), lambda j: substr('{_B32}', (((('0x' || substr(h, 1 + 5 * i::INT, 5))::BIGINT >> (15 - 5 * j)::BIGINT) & 31))::INT + 1, 1)), 'string_agg', '')), 'string_agg', '') AS payload_digest,
+ CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to FROM g""",
+    "op6_chat_grammar": r"""WITH said AS (SELECT '\### Assistant: </turn> ok' AS s),
+ r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', s FROM said UNION ALL SELECT -7, 1, 'assistant', s FROM said),
+ e AS (SELECT *, regexp_replace(text, '<(\\*)/turn>', '<\1\\/turn>', 'g') AS body, replace(replace(replace(role, '%', '%25'), '>', '%3E'), '</', '%3C/') AS named FROM r)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
+ coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+ sum(length(named) + length(body) + 15)::BIGINT AS formatted_chars FROM e GROUP BY conv_id""",
+    "op7_suffix_array_decontamination": r"""WITH w AS (SELECT doc_id, row_number() OVER () AS d, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+ b AS (SELECT DISTINCT item_id::VARCHAR AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+ bw AS (SELECT DISTINCT item, least(13, len(words)) AS size, j, array_to_string(words[j : j + least(13, len(words)) - 1], ' ') AS gram FROM (SELECT item, words, unnest(range(1, greatest(len(words) - 13, 0) + 2)) AS j FROM b WHERE len(words) > 0)),
+ sizes AS (SELECT DISTINCT size FROM bw),
+ dw AS (SELECT d, size, i, array_to_string(words[i : i + size - 1], ' ') AS gram FROM (SELECT d, words, size, unnest(range(1, len(words) - size + 2)) AS i FROM w, sizes)),
+ hits AS (SELECT d, i, j, item, dw.size AS size FROM dw JOIN bw ON dw.size = bw.size AND dw.gram = bw.gram),
+ runs AS (SELECT d, item, size, i - j AS lag, i - row_number() OVER (PARTITION BY d, item, size, i - j ORDER BY i) AS run FROM hits),
+ far AS (SELECT d, max(n) AS longest FROM (SELECT d, count(*) - 1 + size AS n FROM runs GROUP BY d, item, size, lag, run) GROUP BY d),
+ spots AS (SELECT d, count(DISTINCT k) AS n_hit FROM (SELECT d, unnest(range(i, i + size)) AS k FROM hits) GROUP BY d),
+ found AS (SELECT d, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT d, item FROM hits) GROUP BY d)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+ coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated, coalesce(longest, 0)::BIGINT AS longest
+ FROM w LEFT JOIN spots USING (d) LEFT JOIN found USING (d) LEFT JOIN far USING (d)""",
+}

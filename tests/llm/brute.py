@@ -109,3 +109,23 @@ def payload(text):
     raw = (text or "").encode()
     padded = raw + b"\xff" * (-len(raw) % 576 or (0 if raw else 576))
     return len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-32:])
+
+
+def repeated_passages(table, least):
+    """(doc_id, begin, end, n_words, kept_in) by comparing every passage of ``least`` words with all before it."""
+    seen, out = {}, []
+    for d, text in sorted(set(table), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")):
+        raw = (text or "").encode()
+        words = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+        spans = []
+        for i in range(len(words) - least + 1):
+            begin, end = words[i][0], words[i + least - 1][1]
+            first = seen.setdefault(raw[begin:end], (d, i))
+            if first[0] == d and i < first[1] + least:
+                continue
+            if spans and begin <= spans[-1][1]:
+                spans[-1][1:3] = [end, i + least]
+            else:
+                spans.append([begin, end, i + least, i, first[0]])
+        out += [(d, b, e, w1 - w0, k) for b, e, w1, w0, k in spans]
+    return out

@@ -1,12 +1,15 @@
 """Every operator against a plain version, on rows with nulls, empty and long texts, ties, repeats and clashing names."""
 
+import base64
 import hashlib
 import random
 import re
+import struct
 
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rasterloom.llm import chat, chunks, common, decontaminate, media, mixing, pii, quality, simhash, strings, warc
 
@@ -102,6 +105,21 @@ def test_ogg_packets(size):
         media.decode(bytes(data))
 
 
+def test_ogg_cut_off():
+    """A container without its last pages, or with a page behind the last, is an error, as is padding that doesn't fit."""
+    data = media.encode(bytes(200_000))
+    at = [i for i in range(len(data)) if data.startswith(b"OggS", i)]
+    for bad in (data[: at[-1]], data[: at[1]], data + data[at[-1] :], b""):
+        with pytest.raises(ValueError):
+            media.decode(bad)
+    pages = media.write_stream([(b"PCM8" + struct.pack("<IHH", 8000, 576, 1), 0), (bytes(576), 576)], media.SAMPLES)
+    length = lambda n: media.write_stream([(b"LEN8" + struct.pack("<Q", n), 0)], media.LENGTH)
+    assert media.decode(b"".join([*pages, *length(576)]))[1] == 576
+    for n in (577, 570, 0):
+        with pytest.raises(ValueError):
+            media.decode(b"".join([*pages, *length(n)]))
+
+
 def test_ogg_checksum_known():
     def slow(page):
         crc = 0
@@ -142,6 +160,41 @@ def test_one_of_each_without_ids(spark):
     assert simhash.near_duplicates(df).columns == ["doc_id", "fingerprint", "component_id", "place"]
 
 
+def test_clashing_names(spark):
+    """Columns named like those the operators add, with dots and in other cases, come through as they were."""
+    names = ["__place", "k_", "p_", "s_", "d_", "__p", "own_place", "Span_Doc", "held_id", "nth", "a.b", "__text", "c0", "taken", "place"]
+    table = [(i, t, "s", *[f"{n}{i}" for n in names]) for i, t in enumerate([COPY * 4, COPY * 4, "x", None, "", COPY * 4 + " end", LONG])]
+    df = spark.createDataFrame(table + table[-1:], ["doc.id", "the.text", "source", *names])
+    ids = {"id_col": "doc.id", "text": "the.text"}
+    bench = spark.createDataFrame([(1, "x")], "item_id long, text string")
+    machine = quality.train([(quality.describe(b"good text"), 1), (quality.describe(b"BAD!"), 0)])
+    for out, same in ((simhash.one_of_each(df, **ids), True), (chunks.remove(df, **ids), False), (decontaminate.decontaminate(df, bench, **ids), True), (pii.redact(df, "the.text"), False), (quality.accepted(df, machine, "the.text", 0.0), True)):
+        assert out.columns == df.columns
+        was = {r[0]: tuple(r) for r in df.collect()}
+        for r in out.collect():
+            assert tuple(r)[2:] == was[r[0]][2:] and (not same or r[1] == was[r[0]][1])
+    mixed = mixing.mix(df, **ids, carry=True)
+    assert mixed.columns == [*df.columns, "size", "source_size", "target", "_taken"] and mixed.count() == 8
+    assert pii.detect(df, **ids).count() == strings.score(df, strings.train([]), **ids).count() == media.from_ogg(media.to_ogg(df, **ids)).count() == quality.score(df, machine, **ids).count() == 8
+
+
+def test_empty_tables(spark, none):
+    bench = spark.createDataFrame([(1, "x")], "item_id long, text string")
+    machine = quality.train([])
+    for out in (simhash.one_of_each(none), chunks.remove(none), decontaminate.decontaminate(none, bench), pii.redact(none), quality.accepted(none, machine)):
+        assert out.columns == none.columns and out.count() == 0
+    assert quality.score(none, machine).count() == strings.score(none, strings.train([])).count() == pii.summary(pii.detect(none)).count() == mixing.mix(none, carry=True).count() == 0
+    labels = spark.createDataFrame([], "doc_id long, toxic int, quality int")
+    assert strings.fit(none, labels).scores([""])[0] == pytest.approx(0.5) and quality.fit(none, labels).margins([quality.describe(b"")])[0] == pytest.approx(0)
+
+
+def test_sample_is_bounded(spark):
+    """One labelled id with many rows brings one row to the driver."""
+    df = spark.range(5000).select((F.col("id") * 0 + 3).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    labels = spark.createDataFrame([(3, 1), (3, 0), (4, None)], "doc_id long, toxic int")
+    assert [(r.doc_id, r.y) for r in strings.labelled(df, labels, "toxic", 5, 0, 2000).collect()] == [(3, 1)]
+
+
 def test_links_find_all(spark):
     rng = random.Random(5)
     centres = [rng.getrandbits(64) for _ in range(6)]
@@ -149,8 +202,8 @@ def test_links_find_all(spark):
     values = sorted(values)
     want = brute.components(values, values)
     df = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long")
-    for hot, block in ((10**9, 10**9), (20, 15)):
-        groups = {r.node % (1 << 64): r.root % (1 << 64) for r in simhash.components(simhash.links(df, hot=hot, block=block)).collect()}
+    for hot, block, broadcast in ((10**9, 10**9, 0), (20, 15, 0), (20, 15, 10**6)):  # the last by one broadcast tree
+        groups = {r.node % (1 << 64): r.root % (1 << 64) for r in simhash.components(simhash.links(df, hot=hot, block=block, broadcast=broadcast)).collect()}
         classes, ours = {}, {}
         for v, w in zip(values, want, strict=True):
             classes.setdefault(w, set()).add(v)
@@ -171,13 +224,31 @@ def test_warc(spark):
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     path = warc.archive_path(spark)
     warc.write(df.repartition(2), path)
-    out = warc.read(spark, path).select("id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    out = warc.read(spark, path, "bigint").select("id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     assert rows(out) == key(brute.warc([(p, h) for p, _, h in pages]))
     path = warc.archive_path(spark)
     warc.write(df.limit(0), path)
     assert warc.read(spark, path).count() == 0
 
 
+def test_warc_ids(spark):
+    pages = [("a1", "same"), ("a2", "same"), ("x>\r\ny %", "same"), ("", "other"), ("é", None), (None, "third")]
+    path = warc.archive_path(spark)
+    warc.write(spark.createDataFrame([(p, "u", h) for p, h in pages], "page_id string, url string, html string"), path)
+    out = warc.read(spark, path).select("id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    assert rows(out) == key(brute.warc(pages))
+    assert warc.read(spark, path, "bigint").where("id is not null").count() == 0
+
+
+def test_warc_of_other_writers(spark, tmp_path):
+    head = "WARC/1.1\r\nWARC-Type: {}\r\nWARC-Record-ID: <urn:uuid:{}>\r\nContent-Length: {}\r\n\r\n{}\r\n\r\n"
+    bodies = [("warcinfo", "7", "software: x"), ("response", "8", "WARC/1.0\r\nContent-Length: 1\r\n\r\na\r\n\r\n"), ("response", "9", "WARC/1.x"), ("response", "10", "")]
+    data = "".join(head.format(t, i, len(b), b) for t, i, b in bodies)
+    (tmp_path / "a.warc").write_bytes(data.encode())
+    out = warc.read(spark, str(tmp_path)).orderBy("offset").collect()
+    assert [(r.name, r.record_type, r.payload_bytes, r.payload_digest, r.id) for r in out] == [("urn:uuid:" + i, t, len(b), base64.b32encode(hashlib.sha1(b.encode()).digest()).decode(), None) for t, i, b in bodies]
+
+
 def test_toxicity(spark, docs):
     rng = random.Random(2)
     bad = ["gribbler", "snorkit", "flumpet"]
@@ -305,6 +376,16 @@ def test_pii_iban_ends():
     assert not [x for x in pii.spans_of("GB82 WEST 1234 5698 7654 33 BIC, GB82 WEST 1234 and GB82") if x[2] == "iban"]
 
 
+def test_pii_context():
+    score = lambda text: {k: s for _, _, k, s in pii.spans_of(text)}
+    assert score("my ssn 123-45-6789") == {"national_id": 0.7} and score("the part 123-45-6789, ssn") == {} and score("x 123-45-6789") == {}
+    assert score("a ship 10.0.0.1 sails")["ip"] == 0.6 and score("host 10.0.0.1")["ip"] == 0.9 and score("version 10.0.0.1")["ip"] == 0.3
+    text = 'see token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" there'
+    assert [(k, text[a:b]) for a, b, k, _ in pii.spans_of(text) if k == "secret"] == [("secret", "04dbebab91ab85687d33eeaaf9ac699e1188f962")]
+    assert "04dbeb" not in pii.redacted(text)
+    assert score("API_KEY: AbC1234567890xyz0")["secret"] == 0.8 and "secret" not in score("the token = aaaaaaaaaaaaaaaaaaaaaaaa1 or token: something-or-other")
+
+
 def test_quality(spark, docs):
     rng = random.Random(4)
     table, labels = [], []
@@ -358,26 +439,6 @@ def test_substring_dedup(spark, docs, none):
     assert got.columns == docs.columns and got.count() == len(DOCS)
 
 
-def repeated_passages(table, least):
-    """(doc_id, begin, end, n_words, kept_in) by comparing every passage of ``least`` words with all before it."""
-    seen, out = {}, []
-    for d, text in sorted(set(table), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")):
-        raw = (text or "").encode()
-        words = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
-        spans = []
-        for i in range(len(words) - least + 1):
-            begin, end = words[i][0], words[i + least - 1][1]
-            first = seen.setdefault(raw[begin:end], (d, i))
-            if first[0] == d and i < first[1] + least:
-                continue
-            if spans and begin <= spans[-1][1]:
-                spans[-1][1:3] = [end, i + least]
-            else:
-                spans.append([begin, end, i + least, i, first[0]])
-        out += [(d, b, e, w1 - w0, k) for b, e, w1, w0, k in spans]
-    return out
-
-
 def test_substring_dedup_periodic(spark):
     rng = random.Random(6)
     junk = [" ".join(["Of"] * 300), " ".join(["Ez\u00f1ado"] * 120), " ".join(["a b"] * 90), "x " * 60, " ".join(["la la lu"] * 400)]
@@ -387,7 +448,7 @@ def test_substring_dedup_periodic(spark):
     df = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
     for least in (51, 5):
         got = rows(chunks.duplicates(df, least_words=least).select("doc_id", "begin", "end", "n_words", "kept_in"))
-        assert got == key(repeated_passages(table, least))
+        assert got == key(brute.repeated_passages(table, least))
         assert {r[0] for r in got} >= {10, 11, 12, 13, 14, 42, None}
     places = lambda found: {(r.doc_id, r.place, i) for r in found.collect() for i in range(r.w0, r.w1 - 50)}
     assert places(chunks.repeats(chunks.occurrences(df, segment=100))) == places(chunks.repeats(chunks.occurrences(df)))  # long texts go in parts
