@@ -2,6 +2,7 @@
 
 import brute
 import corpus_pipeline
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,5 +29,31 @@ def test_stages(spark, tmp_path):
         before = after
 
 
+def test_edge_rows(spark):
+    """Nulls in every column, empty, blank and repeated rows, an extra column, and an empty table go through every stage."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("__place", F.lit("kept"))
+    edge = spark.createDataFrame([(None, None, None, None, None, None), (-1, "", "en", "s", 0, "kept"), (-2, " \n", None, None, 1, None), (-3, None, "en", "s", None, "kept")], "doc_id long, text string, lang string, source string, n_chars long, __place string")
+    docs = docs.unionByName(edge).unionByName(docs.limit(20)).unionByName(edge)
+    for part in (docs, docs.limit(0)):
+        some = part.count()
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, part, SF)
+            got = out.count()
+            assert got <= some and out.columns[:6] == docs.columns
+            assert {r[0] for r in out.select("__place").distinct().collect()} <= {"kept", None}
+            if name in ("decontamination", "pii"):
+                assert out.where("doc_id is null").count() == part.where("doc_id is null").count()
+            if name == "near_duplicates" and some:
+                assert out.where("trim(replace(coalesce(text, ''), '\n', '')) = ''").count() == 1 and got == out.dropDuplicates(["doc_id", "text"]).count()
+            if name == "mixing":
+                assert out.where("text is null or text = ''").count() == 0
+
+
 def test_run(spark):
-    assert corpus_pipeline.run(spark, SF).count() > 0
+    import os
+    from urllib.parse import urlparse
+
+    out = corpus_pipeline.run(spark, SF)
+    assert out.count() > 0
+    folder = os.path.dirname(os.path.dirname(urlparse(out.inputFiles()[0]).path))
+    assert os.listdir(folder) == ["4-mixing"]  # the others are gone
