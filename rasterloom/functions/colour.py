@@ -40,6 +40,24 @@ def curve_table(linear: bool = True) -> np.ndarray:
     return np.where(d <= 0.04045, d / 12.92, ((d + 0.055) / 1.055) ** 2.4) if linear else np.where(d <= 0.04045 / 12.92, d * 12.92, 1.055 * d ** (1 / 2.4) - 0.055)
 
 
+def interpolated(v: Column, table: np.ndarray) -> Column:
+    """A table over 0 to 1, looked up with linear interpolation; what lies outside takes the ends."""
+    values = F.array(*[F.lit(float(x)) for x in table])
+    at = F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)) * (len(table) - 1)
+    low = F.floor(at).cast("int")
+    a, b = F.get(values, low), F.get(values, F.least(low + 1, F.lit(len(table) - 1)))
+    return a + (b - a) * (at - low)
+
+
+def video_table(linear: bool = True, size: int = 256) -> np.ndarray:
+    """The curve's table for luma in 16 to 235: byte to linear light (outside taken as the ends), or ``size`` steps of light to video levels over 255."""
+    if linear:
+        d = (np.clip(np.arange(256), 16, 235) - 16) / 219
+        return np.where(d <= 0.04045, d / 12.92, ((d + 0.055) / 1.055) ** 2.4)
+    d = np.linspace(0, 1, size)
+    return (np.where(d <= 0.04045 / 12.92, d * 12.92, 1.055 * d ** (1 / 2.4) - 0.055) * 219 + 16) / 255
+
+
 def rgb_to_ycc(kr: float, kb: float) -> np.ndarray:
     """Rows Y, Cb, Cr; columns r, g, b."""
     kg = 1 - kr - kb

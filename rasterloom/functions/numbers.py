@@ -46,6 +46,35 @@ def power_of_two_ceiling(v: Column, n: int) -> Column:
     return (v + (n - 1)).bitwiseAND(F.lit(~(n - 1)))
 
 
+def greatest_common_divisor(a: Column, b: Column) -> Column:
+    """Euclid's, in a fold: 48 steps do for any two ints. Zero and zero give zero."""
+    start = F.struct(F.abs(a).cast("long").alias("x"), F.abs(b).cast("long").alias("y"))
+    step = lambda s, _: F.struct(F.when(s["y"] == 0, s["x"]).otherwise(s["y"]).alias("x"), F.when(s["y"] == 0, s["y"]).otherwise(s["x"] % s["y"]).alias("y"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(48)), start, step, lambda s: s["x"])
+
+
+def is_odd(v: Column) -> Column:
+    return v.bitwiseAND(F.lit(1)) == 1
+
+
+def lerp(a: Column, b: Column, t: Column) -> Column:
+    return a + (b - a) * t
+
+
+def roughly_equal(a: Column, b: Column, within: float = 1e-3) -> Column:
+    return F.abs(a - b) < within
+
+
+def fixed(v: Column) -> Column:
+    """A number as UQ15, half to even, not clamped."""
+    return F.bround(v * ONE, 0).cast("int")
+
+
+def unfixed(v: Column, bits: int = 15) -> Column:
+    """Fixed point with so many fraction bits to a whole number, half up."""
+    return F.shiftright(v + (1 << (bits - 1)), bits)
+
+
 def mean_up(a: Column, b: Column) -> Column:
     return F.shiftright(a + b + 1, 1)
 

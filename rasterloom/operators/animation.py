@@ -68,6 +68,14 @@ def run_lengths(marked: DataFrame, row: list[str], width: int) -> DataFrame:
     return out.select(*row, F.coalesce("lo", F.lit(width)).alias("left"), F.coalesce(F.lit(width - 1) - F.col("hi"), F.lit(width)).alias("right"))
 
 
+def kinds(px: DataFrame, image: list[str]) -> DataFrame:
+    """The least format of each animation's or image's frames together: with any clear pixel or more frames than one Bgra32, all grey Grey8, else Bgr24."""
+    clear = F.bool_or(F.coalesce(F.col("a") < 255, F.lit(False))) if "a" in px.columns else F.lit(False)
+    plain = F.bool_and((F.col("b") == F.col("g")) & (F.col("g") == F.col("r")))
+    out = px.groupBy(*image).agg(clear.alias("any_alpha"), plain.alias("all_grey"), (F.max("frame_no") - F.min("frame_no") + 1).cast("int").alias("frame_count"))
+    return out.withColumn("fmt", F.when(F.col("any_alpha") | (F.col("frame_count") > 1), "Bgra32").when(F.col("all_grey"), "Grey8").otherwise("Bgr24"))
+
+
 def replay(px: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
     """What the screen shows where frames leave pixels out (null) and are kept: the last value drawn."""
     w = Window.partitionBy(*keys).orderBy("frame_no").rowsBetween(Window.unboundedPreceding, 0)

@@ -49,11 +49,19 @@ def pad(px: DataFrame, keys: list[str], width: int, height: int, top: int, right
     if not all(0 <= v <= 32767 for v in (top, right, bottom, left)):
         raise ValueError("each side must be between 0 and 32767")
     moved = px.withColumns({"x": F.col("x") + left, "y": F.col("y") + top})
-    ow, oh = width + left + right, height + top + bottom
-    cells = px.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0), F.lit(ow * oh - 1))).alias("_cell"))
-    cells = cells.withColumns({"y": F.floor(F.col("_cell") / ow).cast("int"), "x": (F.col("_cell") % ow).cast("int")})
-    inside = F.col("x").between(left, left + width - 1) & F.col("y").between(top, top + height - 1)
-    border = cells.where(~inside).drop("_cell")
+    ow = width + left + right
+    # four bands round the image, each a row of cells for every y that it has
+    bands = [(0, top, 0, ow), (top, height, 0, left), (top, height, left + width, right), (top + height, bottom, 0, ow)]
+    bands = [b for b in bands if b[1] > 0 and b[3] > 0]
+    images = px.select(*keys).distinct()
+    if not bands:
+        return moved
+
+    def rows_of(y, n, x, w):
+        return F.transform(F.sequence(F.lit(y), F.lit(y + n - 1)), lambda r: F.struct(r.alias("y"), F.lit(x).alias("x"), F.lit(w).alias("w")))
+
+    rows = F.explode(F.flatten(F.array(*[rows_of(*b) for b in bands])))
+    border = images.select(*keys, rows.alias("_row")).select(*keys, "_row.y", F.explode(F.sequence(F.col("_row.x"), F.col("_row.x") + F.col("_row.w") - 1)).alias("x"))
     types = dict(px.dtypes)
     return moved.unionByName(border.withColumns({c: F.lit(v).cast(types[c]) for c, v in fill.items()}).select(px.columns))
 
@@ -70,6 +78,56 @@ def overlay(base: DataFrame, top: DataFrame, keys: list[str], mode: str = "over"
     return both.select(*keys, "y", "x", *[F.when(takes, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in "bgra"])
 
 
+Rectangle = tuple[Column, Column, Column, Column]  # x, y, width, height
+
+
+def turned(r: Rectangle, orientation: Column, width: Column, height: Column) -> Rectangle:
+    """A rectangle of the upright image (x, y, w, h) on the stored one of the given size."""
+    x, y, w, h = r
+    of = lambda k: orientation.isin(*[o for o, v in ORIENTATIONS.items() if v[k]])
+    x, y, w, h = (F.when(of(0), b).otherwise(a) for a, b in ((x, y), (y, x), (w, h), (h, w)))
+    return F.when(of(1), width - w - x).otherwise(x), F.when(of(2), height - h - y).otherwise(y), w, h
+
+
+def turned_back(r: Rectangle, orientation: Column, width: Column, height: Column) -> Rectangle:
+    """What ``turned`` with the same stored size undoes."""
+    swap = orientation.isin(*[o for o, v in ORIENTATIONS.items() if v[0]])
+    undo = F.when(orientation == 6, 8).when(orientation == 8, 6).otherwise(orientation)
+    return turned(r, undo, F.when(swap, height).otherwise(width), F.when(swap, width).otherwise(height))
+
+
+def snapped(r: Rectangle, ix: int, iy: int, width: Column, height: Column) -> Rectangle:
+    """Outwards to multiples of two powers of two, within the image."""
+    x, y, w, h = r
+    floor = lambda v, n: v.bitwiseAND(F.lit(~(n - 1)))
+    left, top = floor(x, ix), floor(y, iy)
+    return left, top, F.least(floor(w + x - left + (ix - 1), ix), width - left), F.least(floor(h + y - top + (iy - 1), iy), height - top)
+
+
+def scaled_down(r: Rectangle, rx: int, ry: int, width: Column, height: Column) -> Rectangle:
+    """Divided by a subsampling ratio, no larger than the plane."""
+    x, y, w, h = r
+    whole = lambda v: F.floor(v).cast("int")
+    return whole(x / rx), whole(y / ry), F.least(F.ceil(w / rx).cast("int"), width), F.least(F.ceil(h / ry).cast("int"), height)
+
+
+def in_proportion(r: Rectangle, sw: Column, sh: Column, tw: Column, th: Column) -> Rectangle:
+    """From a source's size to a target's, outwards to whole pixels."""
+    x, y, w, h = r
+    left, top = F.floor(x / (sw / tw)).cast("int"), F.floor(y / (sh / th)).cast("int")
+    return left, top, F.least(F.ceil(w / (sw / tw)).cast("int"), tw - left), F.least(F.ceil(h / (sh / th)).cast("int"), th - top)
+
+
+def relative(r: Rectangle, x: Column, y: Column) -> Rectangle:
+    return r[0] - x, r[1] - y, r[2], r[3]
+
+
+def sliced(r: Rectangle, y: Column, height: Column | None = None) -> Rectangle:
+    """The rows from ``y`` on, or so many of them as there are up to ``height``."""
+    rest = r[3] - y
+    return r[0], r[1] + y, r[2], rest if height is None else F.least(height, rest)
+
+
 def intersect(ax, ay, aw, ah, bx, by, bw, bh) -> list[Column]:
     """x, y, width and height of two rectangles' common part; zeros if there is none."""
     x, y = F.greatest(ax, bx), F.greatest(ay, by)

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.colour import curve_table, from_linear, to_byte, to_linear
+from ..functions.colour import from_linear, to_byte, to_linear
 
 ALPHA_THRESHOLD = 85
 LEVELS = 7
@@ -124,7 +124,3 @@ def dither(frames: DataFrame, keys: list[str], palette: list[tuple[int, int, int
     kinds = dict(frames.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in [*keys, "y", "x"]) + ", idx int"
     return frames.groupBy(*keys).applyInPandas(run, schema)
-
-
-def linear_table() -> np.ndarray:
-    return curve_table(True)

@@ -7,12 +7,11 @@ same-size axis is skipped.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import Interpolator, blur_weights, table, weights
+from ..functions.numbers import ONE
 from .colour import grey
 
 
@@ -79,6 +78,35 @@ def hybrid(px: DataFrame, keys: list[str], size: tuple[int, int], ratio: int, va
     return px, size
 
 
+def resample_uq15(px: DataFrame, keys: list[str], isize: tuple[int, int], osize: tuple[int, int], f: Interpolator, values: list[str] | None = None) -> DataFrame:
+    """``resample`` of UQ15 values in whole numbers: weights are rounded to UQ15, and each axis' sum back from it."""
+    values = values or ["v"]
+    for axis, i, o in sorted((t for t in zip("xy", isize, osize, strict=True) if t[1] != t[2]), key=lambda t: t[2] / t[1]):
+        kernel = table(px.sparkSession, weights(i, o, f)).withColumn("w", F.bround(F.col("w") * ONE, 0).cast("long"))
+        px = _axis(px, kernel, axis, keys, values)
+        px = px.withColumns({v: F.least(F.greatest(F.shiftright(F.col(v) + ONE // 2, 15), F.lit(0)), F.lit(65535)).cast("int") for v in values})
+    return px
+
+
+def blur_by_window(px: DataFrame, keys: list[str], size: tuple[int, int], radius: float, value: str = "v") -> DataFrame:
+    """``gaussian_blur`` by windows that slide along rows and columns: no join, one sort for each axis. Neighbours beyond an edge count as the edge."""
+    for axis, n in zip("xy", size, strict=True):
+        other = "y" if axis == "x" else "x"
+        middle = [(i - n, w) for o, i, w in blur_weights(2 * n + 1, radius) if o == n]
+        reach = max(abs(i) for i, _ in middle)
+        w = Window.partitionBy(*keys, other).orderBy(axis)
+        row, at = F.collect_list(value).over(w.rowsBetween(-reach, reach)), F.col(axis)
+        first = F.greatest(at - reach, F.lit(0))
+        whole = F.collect_list(value).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) if reach >= n else row
+        start = F.lit(0) if reach >= n else first
+        terms = [F.get(whole, F.least(F.greatest(at + i, F.lit(0)), F.lit(n - 1)) - start) * c for i, c in middle]
+        out = terms[0]
+        for t in terms[1:]:
+            out = out + t
+        px = px.withColumn("_sum", out).withColumn(value, F.col("_sum")).drop("_sum")
+    return px
+
+
 def gaussian_blur(px: DataFrame, keys: list[str], size: tuple[int, int], radius: float, values: list[str] | None = None) -> DataFrame:
     values = values or ["v"]
     spark = px.sparkSession
@@ -87,6 +115,19 @@ def gaussian_blur(px: DataFrame, keys: list[str], size: tuple[int, int], radius:
     return px
 
 
+def unsharp_linear(px: DataFrame, keys: list[str], size: tuple[int, int], amount: float, radius: float, threshold: float = 0.0, values: list[str] | None = None) -> DataFrame:
+    """``unsharp`` of linear light: differences are of the luma's roots, and are added to the roots of the channels. Alpha stays as it is."""
+    values = values or ["v"]
+    luma = F.col(values[0]) if len(values) == 1 else grey(True)
+    base = px.withColumn("_luma", F.sqrt(F.greatest(luma, F.lit(0.0))))
+    soft = gaussian_blur(base.select(*keys, "y", "x", F.col("_luma").alias("_soft")), keys, size, radius, ["_soft"])
+    both = base.join(soft, [*keys, "y", "x"])
+    dif = F.col("_luma") - F.col("_soft")
+    gain = F.when(F.abs(dif) > threshold, dif * (amount / 100)).otherwise(0.0) if threshold else dif * (amount / 100)
+    root = lambda v: F.greatest(F.sqrt(F.greatest(F.col(v), F.lit(0.0))) + gain, F.lit(0.0))
+    return both.select(*keys, "y", "x", *[F.col(v) if v == "a" else (root(v) * root(v)).alias(v) for v in values])
+
+
 def unsharp(px: DataFrame, keys: list[str], size: tuple[int, int], amount: float, radius: float, threshold: int = 0, values: list[str] | None = None) -> DataFrame:
     """Add (luma - blurred luma) * amount% to each channel where the difference is over the threshold (0: everywhere). Values are bytes; alpha stays as it is."""
     values = values or ["v"]
@@ -97,7 +138,3 @@ def unsharp(px: DataFrame, keys: list[str], size: tuple[int, int], amount: float
     dif = F.col("_luma") - F.col("_soft")
     gain = F.when(F.abs(dif) > threshold, dif * (amount / 100)).otherwise(0.0) if threshold else dif * (amount / 100)
     return both.select(*keys, "y", "x", *[F.col(v) if v == "a" else F.least(F.greatest(F.col(v) + gain, F.lit(0.0)), F.lit(255.0)).alias(v) for v in values])
-
-
-def sum_columns(columns):
-    return reduce(lambda a, b: a + b, columns)

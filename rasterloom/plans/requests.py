@@ -67,6 +67,18 @@ def to_do(requests: DataFrame, cached: DataFrame, key: str = "cache_key") -> Dat
     return requests.join(cached.select(key).distinct(), key, "left_anti").dropDuplicates([key])
 
 
+def lookup(requests: DataFrame, files: DataFrame, path: str = "path") -> DataFrame:
+    """Requests with what is known of their files: found, file_size, file_date. Each path is looked up once, however many requests name it; ``files`` is a listing such as ``images.load`` without contents, and may be cached."""
+    asked = requests.select(path).distinct()
+    known = asked.join(files.select(F.col("path").alias(path), "file_size", "file_date", F.lit(True).alias("found")), path, "left")
+    return requests.join(known, path, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def pass_through(parsed: DataFrame) -> DataFrame:
+    """``as_is`` tells which of the parsed requests ask for nothing and are answered by the file itself."""
+    return parsed.withColumn("as_is", settings.is_empty())
+
+
 def answer(requests: DataFrame, images: DataFrame, folders, defaults: dict[str, str] | None = None) -> DataFrame:
     """Route, parse, join the images' sizes, solve, limit and key a table of requests."""
     df = settings.parse(route(requests, folders), defaults=defaults)

@@ -134,6 +134,15 @@ def fixup(df: DataFrame, iw: str = "image_w", ih: str = "image_h") -> DataFrame:
     return df.drop("_has", "_x", "_y", "_w", "_h", "_wr", "_hr", "_ww", "_hw", "_tw", "_th", "_rat", "_fw", "_fh")
 
 
+def is_empty() -> Column:
+    """Whether the settings ask for nothing, so that the file is answered as it is."""
+    zero = [F.col(c) == 0 for c in ("width", "height", "crop_x", "crop_y", "crop_w", "crop_h", "basis_w", "basis_h", "quality", "frame")]
+    out = F.col("sharpen") & ~F.col("indexed") & F.col("matte").isNull() & F.col("filter").isNull() & F.col("format").isNull() & F.col("subsample").isNull()
+    for z in zero:
+        out = out & z
+    return out
+
+
 def scale_ratio() -> Column:
     return F.least(F.col("crop_w") / F.col("inner_w"), F.col("crop_h") / F.col("inner_h"))
 

@@ -40,6 +40,7 @@ class Image:
     icc: bytes | None = None
     exif: bytes | None = None
     gamma: int | None = None
+    chroma: tuple[float, ...] | None = None  # x and y of white, red, green and blue
     notes: dict = field(default_factory=dict)
 
 
@@ -66,7 +67,30 @@ def png_chunks(data: bytes):
         at += 12 + n
 
 
+def _wave(lines: np.ndarray, kinds: np.ndarray, step: int) -> np.ndarray:
+    """Undo filters of any kind, all rows at once: a pixel needs those left, above and between, so pixels with one sum of row and column can go together."""
+    h, stride = lines.shape
+    w = stride // step
+    px = np.zeros((h + 1, w + 1, step), np.int16)  # with a row and a column of zeros before
+    px[1:, 1:] = lines.reshape(h, w, step)
+    kinds = kinds[:, None]
+    for t in range(h + w - 1):
+        y = np.arange(max(0, t - w + 1), min(h, t + 1))
+        x = t - y
+        left, above, corner, k = px[y + 1, x], px[y, x + 1], px[y, x], kinds[y]
+        da, db, dc = np.abs(above - corner), np.abs(left - corner), np.abs(left + above - 2 * corner)
+        near = np.where((da <= db) & (da <= dc), left, np.where(db <= dc, above, corner))
+        guess = np.where(k == 4, near, np.where(k == 3, (left + above) >> 1, np.where(k == 2, above, np.where(k == 1, left, 0))))
+        px[y + 1, x + 1] = (px[y + 1, x + 1] + guess) & 255
+    return px[1:, 1:].reshape(h, stride).astype(np.uint8)
+
+
 def _unfilter(raw: bytes, rows: int, stride: int, step: int) -> tuple[np.ndarray, int]:
+    table = np.frombuffer(raw, np.uint8, rows * (stride + 1)).reshape(rows, stride + 1)
+    if (table[:, 0] > 2).any():
+        if (table[:, 0] > 4).any():
+            raise ValueError(f"filter {table[:, 0].max()}")
+        return _wave(table[:, 1:], table[:, 0], step), rows * (stride + 1)
     out = np.zeros((rows, stride), np.uint8)
     above, at = np.zeros(stride, np.int64), 0
     for y in range(rows):
@@ -77,20 +101,6 @@ def _unfilter(raw: bytes, rows: int, stride: int, step: int) -> tuple[np.ndarray
         elif kind == 1:
             for s in range(step):
                 line[s::step] = np.cumsum(line[s::step]) & 255
-        elif kind in (3, 4):
-            for x in range(stride):
-                a = line[x - step] if x >= step else 0
-                b = above[x]
-                if kind == 3:
-                    guess = (a + b) >> 1
-                else:
-                    c = above[x - step] if x >= step else 0
-                    p = a + b - c
-                    pa, pb, pc = abs(p - a), abs(p - b), abs(p - c)
-                    guess = a if pa <= pb and pa <= pc else b if pb <= pc else c
-                line[x] = (line[x] + guess) & 255
-        elif kind:
-            raise ValueError(f"filter {kind}")
         out[y], above = line, line
     return out, at
 
@@ -125,7 +135,7 @@ def _png_pixels(raw: bytes, w: int, h: int, depth: int, kind: int, interlaced: i
 
 
 def decode_png(data: bytes) -> Image:
-    plte = trns = icc = exif = gamma = None
+    plte = trns = icc = exif = gamma = chroma = None
     parts: list[tuple[dict | None, bytearray]] = []
     loop = 0
     for kind, body in png_chunks(data):
@@ -137,6 +147,8 @@ def decode_png(data: bytes) -> Image:
             trns = body
         elif kind == b"gAMA":
             (gamma,) = struct.unpack(">I", body)
+        elif kind == b"cHRM":
+            chroma = tuple(v / 100_000 for v in struct.unpack(">8I", body))
         elif kind == b"iCCP":
             icc = zlib.decompress(body[body.index(0) + 2 :])
         elif kind == b"eXIf":
@@ -172,36 +184,65 @@ def decode_png(data: bytes) -> Image:
         elif colour in (2, 6):
             px = np.concatenate([px[..., 2::-1], px[..., 3:]], axis=2)
         frames.append(Frame(px, **({"left": info["left"], "top": info["top"], "duration": (info["num"], info["den"]), "disposal": info["dispose"] + 1, "blend": info["blend"]} if info else {})))
-    return Image("image/png", frames, w, h, loop, icc=icc, exif=exif, gamma=gamma)
+    return Image("image/png", frames, w, h, loop, icc=icc, exif=exif, gamma=gamma, chroma=chroma)
 
 
 def _png_chunk(kind: bytes, body: bytes) -> bytes:
     return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
 
 
-def encode_png(px: np.ndarray, palette: np.ndarray | None = None, icc: bytes | None = None, level: int = 6, filter_kind: str = "up") -> bytes:
-    """Grey, BGR or BGRA; with ``palette`` (n, 3 or 4; BGR(A)), px holds indices. filter_kind: none, sub or up."""
+def _filtered(px: np.ndarray, code: int) -> bytes:
+    """Rows of RGB(A), grey or indices, each behind the number of its filter."""
+    h, w, ch = px.shape
+    rows = px.reshape(h, w * ch).astype(np.int16)
+    left, above = np.zeros_like(rows), np.zeros_like(rows)
+    left[:, ch:], above[1:] = rows[:, :-ch], rows[:-1]
+    corner = np.zeros_like(rows)
+    corner[1:, ch:] = rows[:-1, :-ch]
+    if code == 4:
+        da, db, dc = np.abs(above - corner), np.abs(left - corner), np.abs(left + above - 2 * corner)
+        guess = np.where((da <= db) & (da <= dc), left, np.where(db <= dc, above, corner))
+    else:
+        guess = (0, left, above, (left + above) >> 1)[code]
+    return np.concatenate([np.full((h, 1), code, np.uint8), ((rows - guess) & 255).astype(np.uint8)], axis=1).tobytes()
+
+
+def _packed(px: np.ndarray, code: int, interlaced: bool, level: int) -> bytes:
+    """The compressed samples of one image or frame of BGR(A), grey or indices."""
+    px = px.reshape(*px.shape[:2], -1)
+    rgb = px if px.shape[2] == 1 else np.concatenate([px[..., 2::-1], px[..., 3:]], axis=2)
+    parts = [rgb[y::dy, x::dx] for x, y, dx, dy in _PASSES] if interlaced else [rgb]
+    return zlib.compress(b"".join(_filtered(p, code) for p in parts if p.size), level)
+
+
+def encode_apng(frames: list[Frame], size: tuple[int, int], loop: int = 0, level: int = 6) -> bytes:
+    """An animation of BGR or BGRA frames, all of the same channels; the first fills the screen."""
+    kind = {3: 2, 4: 6}[frames[0].pixels.shape[2]]
+    out = [_PNG, _png_chunk(b"IHDR", struct.pack(">IIBBBBB", *size, 8, kind, 0, 0, 0)), _png_chunk(b"acTL", struct.pack(">II", len(frames), loop))]
+    number = 0
+    for i, f in enumerate(frames):
+        h, w = f.pixels.shape[:2]
+        out.append(_png_chunk(b"fcTL", struct.pack(">IIIIIHHBB", number, w, h, f.left, f.top, *f.duration, max(0, f.disposal - 1), f.blend)))
+        body, number = _packed(f.pixels, 2, False, level), number + 1
+        out.append(_png_chunk(b"IDAT", body) if i == 0 else _png_chunk(b"fdAT", struct.pack(">I", number) + body))
+        number += i > 0
+    return b"".join([*out, _png_chunk(b"IEND", b"")])
+
+
+def encode_png(px: np.ndarray, palette: np.ndarray | None = None, icc: bytes | None = None, level: int = 6, filter_kind: str = "up", interlaced: bool = False) -> bytes:
+    """Grey, BGR or BGRA; with ``palette`` (n, 3 or 4; BGR(A)), px holds indices. filter_kind: none, sub, up, average or paeth."""
     h, w = px.shape[:2]
     px = px.reshape(h, w, -1)
-    ch = px.shape[2]
-    kind = 3 if palette is not None else {1: 0, 3: 2, 4: 6}[ch]
-    rows = px if ch == 1 else np.concatenate([px[..., 2::-1], px[..., 3:]], axis=2)
-    rows = rows.reshape(h, w * ch).astype(np.uint8)
-    code = 0 if kind == 3 else {"none": 0, "sub": 1, "up": 2}[filter_kind]
-    out = rows.copy()
-    if code == 2:
-        out[1:] -= rows[:-1]
-    elif code == 1:
-        out[:, ch:] -= rows[:, :-ch]
-    raw = np.concatenate([np.full((h, 1), code, np.uint8), out], axis=1).tobytes()
-    body = [_PNG, _png_chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, kind, 0, 0, 0))]
+    kind = 3 if palette is not None else {1: 0, 3: 2, 4: 6}[px.shape[2]]
+    code = 0 if kind == 3 else ("none", "sub", "up", "average", "paeth").index(filter_kind)
+    body = [_PNG, _png_chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, kind, 0, 0, int(interlaced)))]
     if icc:
         body.append(_png_chunk(b"iCCP", b"profile\0\0" + zlib.compress(icc)))
     if palette is not None:
         body.append(_png_chunk(b"PLTE", palette[:, 2::-1].astype(np.uint8).tobytes()))
         if palette.shape[1] == 4:
             body.append(_png_chunk(b"tRNS", palette[:, 3].astype(np.uint8).tobytes()))
-    return b"".join([*body, _png_chunk(b"IDAT", zlib.compress(raw, level)), _png_chunk(b"IEND", b"")])
+    return b"".join([*body, _png_chunk(b"IDAT", _packed(px, code, interlaced, level)), _png_chunk(b"IEND", b"")])
 
 
 # GIF ---------------------------------------------------------------------------------
@@ -298,12 +339,13 @@ def _colours(data: bytes, at: int, flags: int) -> tuple[np.ndarray | None, int]:
     return np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3), at + 3 * n
 
 
-def decode_gif(data: bytes) -> Image:
+def gif_blocks(data: bytes) -> tuple[Image, list[tuple]]:
+    """The screen without frames, and of each frame its place and size, its flags, colours, code bits, packed pixels, delay, disposal and clear index."""
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     w, h, flags, background, _ = struct.unpack_from("<HHBBB", data, 6)
     shared, at = _colours(data, 13, flags)
-    image = Image("image/gif", [], w, h, 1, background)
+    image, frames = Image("image/gif", [], w, h, 1, background), []
     delay, disposal, clear = 0, 0, None
     while at < len(data) and data[at] != 0x3B:
         if data[at] == 0x21:
@@ -319,37 +361,43 @@ def decode_gif(data: bytes) -> Image:
             own, at = _colours(data, at + 10, ff)
             bits = data[at]
             packed, at = _blocks(data, at + 1)
-            idx = lzw_unpack(packed, bits, fw * fh)
-            idx = np.r_[idx, np.zeros(fw * fh - len(idx), np.uint8)].reshape(fh, fw)
-            if ff & 0x40:
-                order = np.r_[0:fh:8, 4:fh:8, 2:fh:4, 1:fh:2]
-                still = np.empty_like(idx)
-                still[order] = idx
-                idx = still
-            table = np.zeros((256, 4), np.uint8)
-            colours = own if own is not None else shared
-            if colours is not None:
-                table[: len(colours), :3], table[: len(colours), 3] = colours[:, ::-1], 255
-            if clear is not None:
-                table[clear] = 0
-            px = table[idx]
-            image.frames.append(Frame(px if clear is not None else px[..., :3], left, top, (delay, 100), disposal))
+            frames.append((left, top, fw, fh, ff, own if own is not None else shared, bits, packed, delay, disposal, clear))
             delay, disposal, clear = 0, 0, None
         else:
             raise ValueError(f"block {data[at]:#x}")
+    return image, frames
+
+
+def decode_gif(data: bytes) -> Image:
+    image, frames = gif_blocks(data)
+    for left, top, fw, fh, ff, colours, bits, packed, delay, disposal, clear in frames:
+        idx = lzw_unpack(packed, bits, fw * fh)
+        idx = np.r_[idx, np.zeros(fw * fh - len(idx), np.uint8)].reshape(fh, fw)
+        if ff & 0x40:
+            order = np.r_[0:fh:8, 4:fh:8, 2:fh:4, 1:fh:2]
+            still = np.empty_like(idx)
+            still[order] = idx
+            idx = still
+        table = np.zeros((256, 4), np.uint8)
+        if colours is not None:
+            table[: len(colours), :3], table[: len(colours), 3] = colours[:, ::-1], 255
+        if clear is not None:
+            table[clear] = 0
+        px = table[idx]
+        image.frames.append(Frame(px if clear is not None else px[..., :3], left, top, (delay, 100), disposal))
     return image
 
 
 def encode_gif(frames: list[tuple[np.ndarray, int, int]], palette: np.ndarray, size: tuple[int, int], loop: int = 0, delay: int = 10, clear: int | None = None, disposal: int = 1) -> bytes:
-    """frames: indices, left, top; one palette (n, 3; BGR) for all; delay in hundredths."""
+    """frames: indices, left, top, and a delay if not all have the same; one palette (n, 3; BGR) for all; delay in hundredths."""
     bits = max(2, (len(palette) - 1).bit_length())
     table = np.zeros((1 << bits, 3), np.uint8)
     table[: len(palette)] = palette[:, 2::-1]
     out = [b"GIF89a" + struct.pack("<HHBBB", *size, 0xF0 | (bits - 1), 0, 0), table.tobytes()]
     if len(frames) > 1:
         out.append(b"\x21\xff\x0bNETSCAPE2.0\x03\x01" + struct.pack("<H", loop) + b"\0")
-    for idx, left, top in frames:
-        out.append(b"\x21\xf9\x04" + struct.pack("<BHB", disposal << 2 | (clear is not None), delay, clear or 0) + b"\0")
+    for idx, left, top, *own in frames:
+        out.append(b"\x21\xf9\x04" + struct.pack("<BHB", disposal << 2 | (clear is not None), own[0] if own else delay, clear or 0) + b"\0")
         out.append(b"\x2c" + struct.pack("<HHHHB", left, top, idx.shape[1], idx.shape[0], 0) + bytes([bits]))
         packed = lzw_pack(idx.astype(np.uint8).tobytes(), bits)
         out += [bytes([len(packed[i : i + 255])]) + packed[i : i + 255] for i in range(0, len(packed), 255)] + [b"\0"]
@@ -437,11 +485,11 @@ def encode_tga(px: np.ndarray, rle: bool = False) -> bytes:
     return head + bytes(out)
 
 
-def decode_tiff(data: bytes) -> Image:
-    """Uncompressed strips, 8 bits a sample: grey, RGB or RGBA. Each page is a frame."""
+def tiff_pages(data: bytes) -> list[dict[int, tuple]]:
+    """The numbers of each page's tags."""
     e = {b"II": "<", b"MM": ">"}[data[:2]]
     (at,) = struct.unpack_from(e + "I", data, 4)
-    frames, seen = [], set()
+    pages, seen = [], set()
     while at and at not in seen:
         seen.add(at)
         tags = {}
@@ -452,6 +500,16 @@ def decode_tiff(data: bytes) -> Image:
             if size:
                 where = at + 10 + 12 * i if size * count <= 4 else struct.unpack_from(e + "I", data, at + 10 + 12 * i)[0]
                 tags[tag] = struct.unpack_from(e + code * count, data, where)
+        pages.append(tags)
+        follow = at + 2 + 12 * n
+        at = struct.unpack_from(e + "I", data, follow)[0] if follow + 4 <= len(data) else 0
+    return pages
+
+
+def decode_tiff(data: bytes) -> Image:
+    """Uncompressed strips, 8 bits a sample: grey, RGB or RGBA. Each page is a frame."""
+    frames = []
+    for tags in tiff_pages(data):
         if tags.get(259, (1,))[0] != 1 or set(tags.get(258, (8,))) != {8}:
             raise Unsupported("TIFF that is compressed or hasn't 8 bits a sample")
         w, h, ch = tags[256][0], tags[257][0], tags.get(277, (1,))[0]
@@ -460,8 +518,6 @@ def decode_tiff(data: bytes) -> Image:
         if tags.get(262, (1,))[0] == 0:
             px = 255 - px
         frames.append(Frame(np.concatenate([px[..., 2::-1], px[..., 3:]], axis=2) if ch >= 3 else px, orientation=tags.get(274, (1,))[0]))
-        follow = at + 2 + 12 * n
-        at = struct.unpack_from(e + "I", data, follow)[0] if follow + 4 <= len(data) else 0
     return Image("image/tiff", frames, frames[0].pixels.shape[1], frames[0].pixels.shape[0])
 
 

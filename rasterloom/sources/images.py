@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 import struct
 from collections.abc import Iterator
 
@@ -55,10 +54,23 @@ def header(kind: str, data: bytes) -> list[tuple[int, int, int, bool, int]]:
             elif name == b"eXIf":
                 o = metadata.orientation(metadata.read_exif(body))
         return [(k, *((h, w) if o > 4 else (w, h)), alpha or colour in (4, 6), o) for k in range(frames)]
-    if kind in codecs.DECODERS:
+    if kind == "tiff":  # pages have sizes of their own
+        out = []
+        for k, tags in enumerate(codecs.tiff_pages(data)):
+            w, h, o = tags[256][0], tags[257][0], tags.get(274, (1,))[0]
+            out.append((k, *((h, w) if o in range(5, 9) else (w, h)), tags.get(277, (1,))[0] == 4, o if o in range(1, 9) else 1))
+        return out
+    if kind == "gif":
+        w, h = struct.unpack_from("<HH", data, 6)
+        return [(k, w, h, clear is not None, 1) for k, (*_, clear) in enumerate(codecs.gif_blocks(data)[1])]
+    if kind == "bmp":
+        w, h, _, bpp = struct.unpack_from("<iiHH", data, 18)
+        return [(0, w, abs(h), bpp == 32, 1)]
+    if kind == "tga":
+        w, h, bpp = struct.unpack_from("<HHB", data, 12)
+        return [(0, w, h, (data[7] if data[1] else bpp) == 32, 1)]
+    if kind in codecs.DECODERS:  # a codec that was added: it alone knows its headers
         image = codecs.DECODERS[kind](data)
-        if kind == "tiff":  # pages have sizes of their own
-            return [(k, *(f.pixels.shape[:2] if f.orientation > 4 else f.pixels.shape[1::-1]), f.pixels.shape[2] == 4, f.orientation) for k, f in enumerate(image.frames)]
         return [(k, image.width, image.height, f.pixels.shape[2] == 4, 1) for k, f in enumerate(image.frames)]
     raise codecs.Unsupported(kind)
 
@@ -103,13 +115,20 @@ def decode(images: DataFrame, rows_per_strip: int = 64) -> DataFrame:
 
 
 def to_pixels(strips: DataFrame) -> DataFrame:
-    """Strips of bytes as long pixels, without Python: each strip is exploded by position."""
-    ch = F.when(F.col("fmt") == "Grey8", 1).when(F.col("fmt") == "Bgr24", 3).otherwise(4)
-    n = F.col("rows") * F.col("width")
-    cells = strips.withColumn("ch", ch).withColumn("hexed", F.hex("data")).select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("cell"))
-    byte = lambda k: F.conv(F.substring("hexed", (F.col("cell") * F.col("ch") + k) * 2 + 1, F.lit(2)), 16, 10).cast("int")
-    more = lambda k: F.when(F.col("ch") > k, byte(k))
-    return cells.select("image_id", "frame_no", "plane", (F.col("y0") + F.floor(F.col("cell") / F.col("width")).cast("int")).alias("y"), (F.col("cell") % F.col("width")).alias("x"), byte(0).alias("b"), more(1).alias("g"), more(2).alias("r"), more(3).alias("a"))
+    """Strips of bytes as long pixels: each strip's bytes become columns in one pass over them, and a batch is a strip."""
+
+    def run(batches):
+        for b in batches:
+            for image_id, frame_no, plane, y0, rows, width, fmt, data in zip(*(b.column(i).to_pylist() for i in range(7)), b.column(7), strict=True):
+                ch = {"Grey8": 1, "Bgr24": 3}.get(fmt, 4)
+                n = rows * width
+                px = np.frombuffer(data.as_buffer(), np.uint8, n * ch).reshape(n, ch).astype(np.int32)
+                y, x = np.divmod(np.arange(n, dtype=np.int32), np.int32(width))
+                same = [pa.repeat(pa.scalar(v, t), n) for v, t in ((image_id, pa.int64()), (frame_no, pa.int32()), (plane, pa.string()))]
+                cols = [pa.array(np.ascontiguousarray(px[:, k])) if k < ch else pa.nulls(n, pa.int32()) for k in range(4)]
+                yield pa.record_batch([*same, pa.array(y + np.int32(y0)), pa.array(x), *cols], ["image_id", "frame_no", "plane", "y", "x", "b", "g", "r", "a"])
+
+    return strips.select("image_id", "frame_no", "plane", "y0", "rows", "width", "fmt", "data").mapInArrow(run, "image_id long, frame_no int, plane string, y int, x int, b int, g int, r int, a int")
 
 
 def encode(frames: DataFrame, kind: str = "png", **options) -> DataFrame:
@@ -218,7 +237,3 @@ class _Writer(DataSourceWriter):
 class _Made(WriterCommitMessage):
     def __init__(self, files):
         self.files = files
-
-
-def as_stream(data: bytes) -> io.BytesIO:
-    return io.BytesIO(data)
