@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import colour as curves
 from .functions import kernels, numbers
 from .operators import animation, colour, dense, geometry, palette, planar, resample
-from .plans import pipeline, process, requests, settings, views
+from .plans import formats, pipeline, process, requests, settings, views
 from .plans.views import sql
 from .sources import images, synthetic
 from .sources import sniff as sniffing
@@ -196,10 +196,16 @@ def _(spark, d):
     return views.px_rgb(spark, d).select("image_id", "y", "x", F.round(colour.grey(), 6).alias("companded"), F.round(colour.grey(True), 6).alias("linear"))
 
 
-for _m, _rows in curves.MATRICES.items():
-    query(f"colour_matrix_{_m}", sql("rgb", f"SELECT image_id, y, x, {', '.join(_byte(f'(r * {float(_rows[0][k])!r}::DOUBLE + g * {float(_rows[1][k])!r}::DOUBLE + b * {float(_rows[2][k])!r}::DOUBLE) / 255::DOUBLE + {float(_rows[3][k])!r}::DOUBLE') + f' AS {c}' for k, c in enumerate('rgb'))} FROM rgb"))(
-        lambda spark, d, m=_m: colour.colour_matrix(views.px_rgb(spark, d), m)
-    )
+#: Each output channel as a sum of the inputs, written out apart from the library's table.
+_PRESET_SQL = {
+    "grey": ("(r * 0.299 + g * 0.587 + b * 0.114) / 255", "(r * 0.299 + g * 0.587 + b * 0.114) / 255", "(r * 0.299 + g * 0.587 + b * 0.114) / 255"),
+    "sepia": ("(r * 0.393 + g * 0.769 + b * 0.189) / 255", "(r * 0.349 + g * 0.686 + b * 0.168) / 255", "(r * 0.272 + g * 0.534 + b * 0.131) / 255"),
+    "polaroid": ("(r * 1.438 + g * -0.122 + b * -0.016) / 255 + -0.03", "(r * -0.062 + g * 1.378 + b * -0.016) / 255 + 0.05", "(r * -0.062 + g * -0.122 + b * 1.483) / 255 + -0.02"),
+    "negative": ("(255 - r) / 255", "(255 - g) / 255", "(255 - b) / 255"),
+}
+for _m, _sums in _PRESET_SQL.items():
+    _made = ", ".join(_byte(re.sub(r"(-?[0-9]+[.][0-9]+|255$)", r"(\1::DOUBLE)", e).replace("/ 255 ", "/ 255::DOUBLE ")) + f" AS {c}" for c, e in zip("rgb", _sums, strict=True))
+    query(f"colour_matrix_{_m}", sql("rgb", f"SELECT image_id, y, x, {_made} FROM rgb"))(lambda spark, d, m=_m: colour.colour_matrix(views.px_rgb(spark, d), m))
 
 _PA, _MA = "(a / 255::DOUBLE)", "(128 / 255::DOUBLE)"
 _MO = f"({_PA} + {_MA} * (1 - {_PA}))"
@@ -211,7 +217,8 @@ def _(spark, d):
     return colour.matte(views.px_bgra(spark, d), 10, 200, 90, 128)
 
 
-_P3 = np.linalg.inv(curves.PROFILES["displayp3"]) @ curves.PROFILES["srgb"]
+#: sRGB to Display P3, as published for the web (rows r, g, b).
+_P3 = ((0.8224621, 0.177538, 0.0), (0.0331941, 0.9668058, 0.0), (0.0170827, 0.0723974, 0.9105199))
 
 
 @query("profile_convert", sql("rgb", "SELECT image_id, y, x, " + ", ".join(_byte(_comp(f"least(greatest({' + '.join(_lin(f'({s} / 255::DOUBLE)') + f' * ({float(_P3[i][j])!r}::DOUBLE)' for j, s in enumerate('rgb'))}, 0), 1)")) + f" AS {c}" for i, c in enumerate("rgb")) + " FROM rgb"))
@@ -433,7 +440,12 @@ def _(spark, d):
     return animation.denoise(views.frames(spark, d), ["user_id"])
 
 
-@query("denoise_in_order")
+@query("denoise_in_order", sql("fr", """, n AS (SELECT user_id, frame_no, v, lead(v) OVER (PARTITION BY user_id ORDER BY frame_no) AS following FROM fr),
+ o AS (SELECT user_id, frame_no, v AS was, v, following FROM n WHERE frame_no = (SELECT min(frame_no) FROM fr f WHERE f.user_id = n.user_id)
+  UNION ALL SELECT n.user_id, n.frame_no, n.v, (CASE WHEN n.following IS NULL OR (o.v - n.v) * (n.following - n.v) <= 0 THEN n.v
+   WHEN abs(o.v - n.v) <= 9 AND abs(n.following - n.v) <= 9 THEN (8 * n.v + 3 * (o.v - n.v) + 3 * (n.following - n.v) + 4) >> 3
+   WHEN abs(o.v - n.v) <= 9 THEN (n.v + o.v + 1) >> 1 WHEN abs(n.following - n.v) <= 9 THEN (n.v + n.following + 1) >> 1 ELSE n.v END)::INT, n.following FROM o JOIN n ON n.user_id = o.user_id AND n.frame_no = o.frame_no + 1)
+SELECT user_id, frame_no, v FROM o""").replace("WITH ", "WITH RECURSIVE ", 1))
 def _(spark, d):
     return animation.denoise_in_order(views.frames(spark, d), ["user_id"])
 
@@ -513,6 +525,9 @@ def _(spark, d):
     return settings.fixup(views.sizes(spark, d)).select(*_SOLVED)
 
 
+_SHARP_SQL = ((0.5, (40, 1.5, 0)), (1, (30, 1.0, 0)), (2, (30, 0.75, 4)), (4, (75, 0.5, 2)), (6, (50, 0.75, 2)), (8, (100, 0.6, 1)), (10, (125, 0.5, 0)))
+
+
 def _steps(ladder, default, on):
     return "CASE " + " ".join(f"WHEN {on.format(k)} THEN {v}" for k, v in ladder) + f" ELSE {default} END"
 
@@ -521,10 +536,10 @@ _RATIO = "least(crop_w::DOUBLE / inner_w, crop_h::DOUBLE / inner_h)"
 
 
 @query("defaults", f"""{_SIZES}, r AS (SELECT id, outer_w, outer_h, {_RATIO} AS ratio FROM z),
- y AS (SELECT *, CASE WHEN ratio < 6 THEN 1 WHEN ratio < 12 THEN 2 WHEN ratio < 24 THEN 4 WHEN ratio < 48 THEN 8 WHEN ratio < 96 THEN 16 ELSE 32 END AS hybrid_ratio, {_steps(settings.QUALITY, 83, 'greatest(outer_w, outer_h) <= {}')} AS quality FROM r)
+ y AS (SELECT *, CASE WHEN ratio < 6 THEN 1 WHEN ratio < 12 THEN 2 WHEN ratio < 24 THEN 4 WHEN ratio < 48 THEN 8 WHEN ratio < 96 THEN 16 ELSE 32 END AS hybrid_ratio, {_steps(((160, 95), (320, 93), (480, 91), (640, 89), (1280, 87), (1920, 85)), 83, 'greatest(outer_w, outer_h) <= {}')} AS quality FROM r)
 SELECT id, round(ratio, 6) AS ratio, hybrid_ratio, quality, CASE WHEN quality >= 95 THEN 444 WHEN quality >= 90 THEN 422 ELSE 420 END AS subsample,
  CASE WHEN ratio / hybrid_ratio = 1 THEN 'linear' WHEN ratio / hybrid_ratio < 0.5 THEN 'lanczos' WHEN ratio / hybrid_ratio > 16 THEN 'quadratic' WHEN ratio / hybrid_ratio > 4 THEN 'catmullrom' ELSE 'spline36' END AS filter,
- {', '.join(f"(CASE WHEN ratio = 1 THEN 0 ELSE {_steps([(k, v[i]) for k, v in settings.UNSHARP], (150, 0.5, 0)[i], 'ratio < {}')} END)::DOUBLE AS unsharp_{n}" for i, n in enumerate(('amount', 'radius', 'threshold')))} FROM y""")
+ {', '.join(f"(CASE WHEN ratio = 1 THEN 0 ELSE {_steps([(k, v[i]) for k, v in _SHARP_SQL], (150, 0.5, 0)[i], 'ratio < {}')} END)::DOUBLE AS unsharp_{n}" for i, n in enumerate(('amount', 'radius', 'threshold')))} FROM y""")
 def _(spark, d):
     nothing = {"hybrid": F.lit("favorquality"), "quality": F.lit(0), "subsample": F.lit(None).cast("int"), "filter": F.lit(None).cast("string"), "sharpen": F.lit(True)}
     out = settings.defaults(settings.fixup(views.sizes(spark, d)).withColumns(nothing))
@@ -609,7 +624,8 @@ def _(spark, d):
     return sniffing.codec_for(p).select("page_id", "codec")
 
 
-_BARS = synthetic.bar_colours(3, 8)
+#: White, yellow, cyan, green, magenta, red, blue and black at 240, as 0xRRGGBB.
+_BARS = [0xF0F0F0, 0xF0F000, 0x00F0F0, 0x00F000, 0xF000F0, 0xF00000, 0x0000F0, 0x000000]
 
 
 @query("test_pattern", f"""WITH g AS (SELECT (i // 50)::INT AS y, (i % 50)::INT AS x FROM (SELECT unnest(range(50 * 30)) AS i)),
@@ -704,3 +720,141 @@ def _bytes_of(spark: SparkSession, d: str) -> DataFrame:
     level = lambda v: F.least(F.greatest(F.floor((v.cast("double") + 1) * 127.5), F.lit(0)), F.lit(255))
     e = views.read(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"), F.unhex(F.array_join(F.transform("embedding", lambda v: F.lpad(F.hex(level(v)), 2, "0")), "")).alias("data"))
     return e.select("image_id", F.lit(8).alias("image_w"), F.lit(8).alias("image_h"), F.lit(1).alias("channels"), "data")
+
+
+# whole images: orientation, palettes -----------------------------------------------------
+
+
+@query("process_orientations", sql("rgb", """, o AS (SELECT *, (image_id % 8 + 1)::INT AS k FROM rgb)
+SELECT image_id, CASE k WHEN 1 THEN y WHEN 2 THEN y WHEN 3 THEN 7 - y WHEN 4 THEN 7 - y WHEN 5 THEN x WHEN 6 THEN x ELSE 7 - x END AS y,
+ CASE k WHEN 1 THEN x WHEN 2 THEN 7 - x WHEN 3 THEN 7 - x WHEN 4 THEN x WHEN 5 THEN y WHEN 6 THEN 7 - y WHEN 7 THEN 7 - y ELSE y END AS x, b, g, r FROM o"""))
+def _(spark, d):
+    """Files of all eight orientations through whole-image processing: read, turned upright, solved, written, read again."""
+    px = views.px_rgb(spark, d)
+    stored = None
+    for o in range(1, 9):
+        part = _stored(px.where(F.col("image_id") % 8 + 1 == o), "tiff", orientation=o)
+        stored = part if stored is None else stored.union(part)
+    done = process.batch(process.decoded(stored, "image_id"), "format=png&sharpen=false", "image_id")
+    return _read_back(done.select("image_id", F.col("format").alias("kind"), "content")).select("image_id", "y", "x", "b", "g", "r")
+
+
+def _processed(kind: str):
+    def run(spark, d):
+        done = process.batch(process.decoded(_stored(views.px_rgb(spark, d), "bmp"), "image_id"), f"format={kind}&sharpen=false", "image_id")
+        return _read_back(done.select("image_id", F.col("format").alias("kind"), "content")).select("image_id", "y", "x", "b", "g", "r")
+
+    return run
+
+
+for _k in ("png8", "gif"):  # 64 pixels have at most 64 colours, so the palette is exact
+    query(f"process_{_k}", sql("rgb", "SELECT image_id, y, x, b, g, r FROM rgb"))(_processed(_k))
+
+
+# fixed point, windows, linear sharpening -------------------------------------------------
+
+
+@query("resample_uq15", sql("pb", f"""{_kernel_sql(8, 4, *_VALUES["catmullrom"])}, w AS (SELECT o, i, round_even(w * 32768, 0)::BIGINT AS w FROM k), q AS (SELECT vec_id, y, x, ((v * 32768 + 127) // 255)::BIGINT AS v FROM pb),
+ h AS (SELECT vec_id, y, w.o AS x, least(greatest((sum(v * w.w)::BIGINT + 16384) >> 15, 0), 65535) AS v FROM q JOIN w ON w.i = q.x GROUP BY ALL)
+SELECT vec_id, w.o AS y, x, least(greatest((sum(h.v * w.w)::BIGINT + 16384) >> 15, 0), 65535)::INT AS v FROM h JOIN w ON w.i = h.y GROUP BY ALL"""))
+def _(spark, d):
+    px = views.px_byte(spark, d).withColumn("v", numbers.byte_to_uq15(F.col("v")))
+    return resample.resample_uq15(px, ["vec_id"], (8, 8), (4, 4), kernels.PRESETS["catmullrom"]).select("vec_id", "y", "x", "v")
+
+
+@query("blur_by_window", sql("px", _two_sums(_GAUSS)))
+def _(spark, d):
+    return resample.blur_by_window(views.px_embed(spark, d), ["vec_id"], (8, 8), 1.25).select("vec_id", "y", "x", _six("v").alias("v"))
+
+
+@query("unsharp_linear", sql("pb", f"""{_GAUSS}, l AS (SELECT vec_id, y, x, v / 255::DOUBLE AS v, sqrt(v / 255::DOUBLE) AS s FROM pb), h AS (SELECT vec_id, y, k.o AS x, sum(s * k.w) AS s FROM l JOIN k ON k.i = l.x GROUP BY ALL),
+ z AS (SELECT vec_id, k.o AS y, x, sum(h.s * k.w) AS soft FROM h JOIN k ON k.i = h.y GROUP BY ALL), g AS (SELECT vec_id, y, x, greatest(s + (s - soft) * 0.75::DOUBLE, 0) AS t FROM l JOIN z USING (vec_id, y, x))
+SELECT vec_id, y, x, round(t * t, 6) AS v FROM g"""))
+def _(spark, d):
+    px = views.px_byte(spark, d).withColumn("v", F.col("v") / F.lit(255.0))
+    return resample.unsharp_linear(px, ["vec_id"], (8, 8), 75, 1.25).withColumn("v", F.round("v", 6))
+
+
+@query("interpolated_table", sql("px", f""", t AS (SELECT list(({_comp('(i / 16::DOUBLE)')}) ORDER BY i) AS t FROM (SELECT unnest(range(17)) AS i)), a AS (SELECT vec_id, y, x, least(greatest(v, 0), 1)::DOUBLE * 16 AS pos FROM px)
+SELECT vec_id, y, x, round(t[floor(pos)::INT + 1] + (t[least(floor(pos)::INT + 2, 17)] - t[floor(pos)::INT + 1]) * (pos - floor(pos)), 9) AS v FROM a, t"""))
+def _(spark, d):
+    level = [i / 16 for i in range(17)]
+    table = [v * 12.92 if v <= 0.04045 / 12.92 else 1.055 * v ** (1 / 2.4) - 0.055 for v in level]
+    return views.px_embed(spark, d).select("vec_id", "y", "x", F.round(curves.interpolated(F.col("v").cast("double"), table), 9).alias("v"))
+
+
+@query("video_gamma", sql("pb", f"SELECT vec_id, y, x, round({_lin('((least(greatest(v, 16), 235) - 16) / 219::DOUBLE)')}, 9) AS v FROM pb"))
+def _(spark, d):
+    table = F.array(*[F.lit(float(t)) for t in curves.video_table()])
+    return views.px_byte(spark, d).withColumn("v", F.round(F.get(table, F.col("v")), 9))
+
+
+@query("frame_kinds", sql("rgb", "SELECT image_id, bool_or(image_id % 3 = 0 AND x = 2) AS any_alpha, bool_and(image_id % 2 = 0 OR (b = g AND g = r)) AS all_grey, 1 AS frame_count, CASE WHEN image_id % 3 = 0 THEN 'Bgra32' WHEN bool_and(image_id % 2 = 0 OR (b = g AND g = r)) THEN 'Grey8' ELSE 'Bgr24' END AS fmt FROM rgb GROUP BY image_id"))
+def _(spark, d):
+    grey = F.col("image_id") % 2 == 0
+    px = views.px_rgb(spark, d).withColumns({"g": F.when(grey, F.col("b")).otherwise(F.col("g")), "r": F.when(grey, F.col("b")).otherwise(F.col("r")), "frame_no": F.lit(0), "a": F.when((F.col("image_id") % 3 == 0) & (F.col("x") == 2), 0).otherwise(255)})
+    return animation.kinds(px, ["image_id"])
+
+
+# formats, rectangles, numbers ------------------------------------------------------------
+
+_ASKED = ("Grey8", "Bgr24", "Bgra32", "Pbgra32", "Rgb24", "Y8Video", "Cb8", "Indexed8")
+_TAKES = (("Bgr24",), ("Rgba32", "Rgb24"), ("Grey8", "Bgra32"), ("Y8", "Cb8Video"))
+_NEAREST = (("Bgr24", "Rgb24", "Grey8", "Grey8"), ("Bgr24", "Rgb24", "Bgra32", "Bgr24"), ("Bgr24", "Rgba32", "Bgra32", "Bgra32"), ("Bgr24", "Rgba32", "Bgra32", "Pbgra32"), ("Rgb24", "Rgb24", "Rgb24", "Rgb24"), ("Y8Video", "Y8Video", "Y8Video", "Y8"), ("Cb8", "Cb8", "Cb8", "Cb8Video"), ("Indexed8", "Indexed8", "Indexed8", "Indexed8"))
+
+
+@query("closest_format", f"SELECT p_partkey, ([{', '.join(repr(list(n)) for n in _NEAREST)}])[p_partkey % 8 + 1][p_partkey // 8 % 4 + 1] AS fmt FROM part")
+def _(spark, d):
+    p = views.read(spark, d, "part")
+    fmt = F.element_at(F.array(*[F.lit(f) for f in _ASKED]), (F.col("p_partkey") % 8 + 1).cast("int"))
+    takes = F.element_at(F.array(*[F.array(*[F.lit(f) for f in t]) for t in _TAKES]), (F.floor(F.col("p_partkey") / 8) % 4 + 1).cast("int"))
+    return p.select("p_partkey", formats.closest_format(fmt, takes).alias("fmt"))
+
+
+@query("closest_subsample", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN CASE p_partkey // 3 % 3 WHEN 0 THEN 420 WHEN 1 THEN 444 ELSE 444 END WHEN 1 THEN 420 END AS mode FROM part")
+def _(spark, d):
+    p = views.read(spark, d, "part")
+    asked = F.element_at(F.array(F.lit(420), F.lit(422), F.lit(444)), (F.floor(F.col("p_partkey") / 3) % 3 + 1).cast("int"))
+    modes = F.when(F.col("p_partkey") % 3 == 0, F.array(F.lit(420), F.lit(444))).when(F.col("p_partkey") % 3 == 1, F.array(F.lit(420))).otherwise(F.array().cast("array<int>"))
+    return p.select("p_partkey", formats.closest_subsample(asked, modes).alias("mode"))
+
+
+@query("jxl_quality", "SELECT p_partkey, round(CASE WHEN q >= 30 THEN 0.1::DOUBLE + (100 - q) * 0.09::DOUBLE ELSE 53::DOUBLE / 3000 * q * q - 1.15::DOUBLE * q + 25 END, 6) AS distance, q AS quality FROM (SELECT p_partkey, (p_partkey % 100)::INT AS q FROM part)")
+def _(spark, d):
+    p = views.read(spark, d, "part").select("p_partkey", formats.jxl_distance((F.col("p_partkey") % 100).cast("int")).alias("distance"))
+    return p.select("p_partkey", F.round("distance", 6).alias("distance"), formats.jxl_quality(F.col("distance")).alias("quality"))
+
+
+@query("rectangles", """WITH p AS (SELECT p_partkey AS id, (p_partkey % 8 + 1)::INT AS o, (p_partkey % 20)::INT AS x, (p_partkey % 13)::INT AS y, p_size + 5 AS w, p_size + 3 AS h FROM part)
+SELECT id, CASE o WHEN 1 THEN x WHEN 2 THEN 100 - w - x WHEN 3 THEN 100 - w - x WHEN 4 THEN x WHEN 5 THEN y WHEN 6 THEN 100 - h - y WHEN 7 THEN 100 - h - y ELSE y END AS tx,
+ CASE o WHEN 1 THEN y WHEN 2 THEN y WHEN 3 THEN 80 - h - y WHEN 4 THEN 80 - h - y WHEN 5 THEN x WHEN 6 THEN x WHEN 7 THEN 80 - w - x ELSE 80 - w - x END AS ty, x AS bx, y AS "by", w AS bw, h AS bh,
+ x // 4 * 4 AS sx, least((w + x % 4 + 3) // 4 * 4, 100 - x // 4 * 4) AS sw, x // 2 AS dx, least((w + 1) // 2, 50) AS dw, floor(x / (100 / 30::DOUBLE))::INT AS px, least(ceil(w / (100 / 30::DOUBLE))::INT, 30 - floor(x / (100 / 30::DOUBLE))::INT) AS pw, y + 2 AS ly, least(h - 2, 9) AS lh, x - 3 AS rx,
+ CASE WHEN least(x + w, 40) >= greatest(x, 10) AND least(y + h, 40) >= greatest(y, 10) THEN least(x + w, 40) - greatest(x, 10) ELSE 0 END AS iw FROM p""")
+def _(spark, d):
+    p = views.read(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 8 + 1).cast("int").alias("o"), (F.col("p_partkey") % 20).cast("int").alias("x"), (F.col("p_partkey") % 13).cast("int").alias("y"), (F.col("p_size") + 5).alias("w"), (F.col("p_size") + 3).alias("h"))
+    r, i = (F.col("x"), F.col("y"), F.col("w"), F.col("h")), F.lit
+    t = geometry.turned(r, F.col("o"), i(100), i(80))
+    back, snap = geometry.turned_back(t, F.col("o"), i(100), i(80)), geometry.snapped(r, 4, 4, i(100), i(80))
+    down, part, slice_ = geometry.scaled_down(r, 2, 2, i(50), i(40)), geometry.in_proportion(r, i(100), i(80), i(30), i(24)), geometry.sliced(r, i(2), i(9))
+    cut = geometry.intersect(*r, i(10), i(10), i(30), i(30))
+    cols = {"tx": t[0], "ty": t[1], "bx": back[0], "by": back[1], "bw": back[2], "bh": back[3], "sx": snap[0], "sw": snap[2], "dx": down[0], "dw": down[2], "px": part[0], "pw": part[2], "ly": slice_[1], "lh": slice_[3], "rx": geometry.relative(r, i(3), i(0))[0], "iw": cut[2]}
+    return p.select("id", *[c.alias(n) for n, c in cols.items()])
+
+
+@query("whole_numbers", "SELECT p_partkey, gcd(p_partkey, p_size::BIGINT) AS divisor, p_size % 2 = 1 AS odd, round_even(p_size / 7::DOUBLE * 32768, 0)::INT AS fixed, ((p_size * 1000 + 128) >> 8)::INT AS unfixed FROM part")
+def _(spark, d):
+    n = F.col("p_size")
+    return views.read(spark, d, "part").select("p_partkey", numbers.greatest_common_divisor(F.col("p_partkey"), n).alias("divisor"), numbers.is_odd(n).alias("odd"), numbers.fixed(n / F.lit(7.0)).alias("fixed"), numbers.unfixed(n * 1000, 8).alias("unfixed"))
+
+
+@query("pass_through", f"SELECT id, query IN ('w=-4', 'w=abc', 'mode=PAD', 'mode=nope', 'crop=-1,2,3,4', 'anchor=top-left', 'anchor=middle', 'anchor=diagonal', 'subsample=440', 'bg=12345', 'filter=hermite', 'format=zzz', 'hybrid=off', 'gamma=companded') AS as_is FROM (VALUES {', '.join(f"({-1 - i}, '{q}')" for i, q in enumerate(_LITERALS))}) t(id, query)")
+def _(spark, d):
+    df = spark.createDataFrame([(-1 - i, q) for i, q in enumerate(_LITERALS)], "id int, query string")
+    return requests.pass_through(settings.parse(df)).select("id", "as_is")
+
+
+@query("path_lookup", "SELECT p.page_id, coalesce(p.page_id % 3 = 0, false) AS found, CASE WHEN p.page_id % 3 = 0 THEN p.page_id * 10 END AS file_size FROM pages p")
+def _(spark, d):
+    asked = views.read(spark, d, "pages").select("page_id", F.concat(F.lit("/p"), "page_id").alias("path"))
+    files = asked.where("page_id % 3 = 0").select("path", (F.col("page_id") * 10).alias("file_size"), F.lit(None).cast("timestamp").alias("file_date"))
+    return requests.lookup(asked, files).select("page_id", "found", "file_size")

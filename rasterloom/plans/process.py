@@ -3,13 +3,16 @@
 Sizes and defaults are solved in columns; the pixels then go through one Arrow pass
 with no shuffle, and a task holds one batch of images (Spark bounds a batch's bytes).
 Files are decoded by Spark's image source in the JVM, bytes at hand by our own codecs.
-Images are turned upright as EXIF says; of several frames the asked one is answered, as a still image.
+Images are turned upright as EXIF says and their colours are turned into sRGB; of several frames the asked one is
+answered, as a still image, and ``animate`` answers animations as GIF.
 """
 
 from __future__ import annotations
 
 import json
+from dataclasses import replace
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -19,23 +22,26 @@ from pyspark.sql import functions as F
 from ..functions.kernels import PRESETS, blur_weights, weights
 from ..operators.dense import matrix
 from ..operators.geometry import ORIENTATIONS
+from ..operators.palette import quantize
 from ..sources import codecs, images as files, metadata
-from . import settings
+from . import formats, settings
 
 LUMA = (0.114, 0.587, 0.299)  # of b, g, r
-SOLVED = ("crop_x", "crop_y", "crop_w", "crop_h", "inner_w", "inner_h", "outer_w", "outer_h", "filter", "hybrid_ratio", "gamma", "unsharp_amount", "unsharp_radius", "unsharp_threshold", "matte", "quality", "subsample", "format")
+SOLVED = ("crop_x", "crop_y", "crop_w", "crop_h", "inner_w", "inner_h", "outer_w", "outer_h", "filter", "hybrid_ratio", "gamma", "unsharp_amount", "unsharp_radius", "unsharp_threshold", "matte", "quality", "subsample", "format", "indexed")
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    """(path, image_w, image_h, channels, data, orientation) of image files as stored: bytes by rows, grey or BGR(A). Files that are no images go.
+    """(path, image_w, image_h, channels, data, orientation, error) of image files as stored: bytes by rows, grey or BGR(A). A file that can't be read has an error and no data.
 
     Only the first frame is read; asking for another is an error (``decoded`` has all). Spark's image source leaves EXIF
     out, so the headers are read first; the paths of images that aren't upright come to the driver.
     """
-    raw = spark.read.format("image").option("dropInvalid", "true").load(path).select("image.*", F.col("_metadata.file_path").alias("__file"))
+    raw = spark.read.format("image").option("dropInvalid", "false").load(path).select("image.*", F.col("_metadata.file_path").alias("__file"))
     turned = {r.file: r.orientation for r in _orientations(spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"), "content")).collect()}
     orientation = F.coalesce(F.element_at(F.from_json(F.lit(json.dumps(turned)), "map<string,int>"), F.col("__file")), F.lit(1)) if turned else F.lit(1)
-    return raw.select(F.col("origin").alias("path"), F.col("width").alias("image_w"), F.col("height").alias("image_h"), F.col("nChannels").alias("channels"), "data", orientation.alias("orientation"))
+    good = F.col("width") > 0
+    known = lambda c: F.when(good, F.col(c))
+    return raw.select(F.col("origin").alias("path"), known("width").alias("image_w"), known("height").alias("image_h"), known("nChannels").alias("channels"), known("data").alias("data"), orientation.alias("orientation"), F.when(~good, "no image that can be read").alias("error"))
 
 
 def _orientations(found: DataFrame) -> DataFrame:
@@ -74,6 +80,9 @@ def _bgra(px: np.ndarray) -> np.ndarray:
 
 def screens(image: codecs.Image):
     """What is shown at each frame, upright: pages as they are, frames of an animation drawn over those before."""
+    profile = metadata.source_profile(image.icc, image.exif, image.gamma, image.chroma)
+    if profile:
+        image = replace(image, frames=[replace(f, pixels=metadata.to_srgb(f.pixels, profile)) for f in image.frames])
     exif = metadata.orientation([x for x in metadata.read_exif(image.exif) if x[0] == "ifd0"]) if image.exif else 1
     size = (image.height, image.width)
     if image.mime not in ("image/gif", "image/png") or len(image.frames) == 1 and image.frames[0].pixels.shape[:2] == size:
@@ -221,9 +230,89 @@ def render(px: np.ndarray, s: dict) -> np.ndarray:
 def _write(px: np.ndarray, s: dict) -> bytes:
     if s["format"] == "jpeg":
         return codecs.ENCODERS["jpeg"](px, s["quality"], s["subsample"])
+    if s["format"] == "gif" or (s["format"] == "png" and s["indexed"]):
+        (idx,), colours, clear = quantize([px])
+        if s["format"] == "png":
+            return codecs.encode_png(idx, colours)
+        return codecs.encode_gif([(idx, 0, 0)], colours, (px.shape[1], px.shape[0]), clear=clear)
     return codecs.ENCODERS[s["format"]](px)
 
 
+def denoise(frames: list[np.ndarray], threshold: int = 9) -> list[np.ndarray]:
+    """Bytes that stand out from the (already treated) frame before and the one after move towards those within the threshold."""
+    out = [f.astype(np.int16) for f in frames]
+    for i in range(1, len(out) - 1):
+        dp, dn = out[i - 1] - out[i], out[i + 1] - out[i]
+        p, n = np.abs(dp) <= threshold, np.abs(dn) <= threshold
+        new = np.where(p & n, (8 * out[i] + 3 * dp + 3 * dn + 4) >> 3, np.where(p, (2 * out[i] + dp + 1) >> 1, np.where(n, (2 * out[i] + dn + 1) >> 1, out[i])))
+        out[i] = np.where(dp.astype(np.int32) * dn > 0, new, out[i])
+    return [f.astype(np.uint8) for f in out]
+
+
+def animation(frames: list[np.ndarray], delays: list[int], options: formats.AnimationOptions = formats.AnimationOptions()) -> bytes:
+    """A GIF of rendered frames of one size: denoised, what doesn't change left clear, cut to the changed rectangle, in one palette.
+
+    Frames are drawn over those before; where a clear pixel follows a solid one, nothing is deduplicated and each frame clears the screen.
+    """
+    frames = [np.repeat(f, 3, 2) if f.shape[2] == 1 else f for f in frames]
+    if options.denoise:
+        frames = denoise(frames)
+    frames = [_bgra(f) for f in frames]
+    solid = [f[..., 3] >= 85 for f in frames]
+    kept = options.dedupe and all((b | ~a).all() for a, b in pairwise(solid))
+    parts, places = [frames[0]], [(0, 0)]
+    for before, now in pairwise(frames):
+        if not kept:
+            parts.append(now)
+            places.append((0, 0))
+            continue
+        new = (before != now).any(2)
+        rows, cols = np.flatnonzero(new.any(1)), np.flatnonzero(new.any(0))
+        y0, y1, x0, x1 = (rows[0], rows[-1] + 1, cols[0], cols[-1] + 1) if len(rows) else (0, 1, 0, 1)
+        part = now[y0:y1, x0:x1].copy()
+        part[~new[y0:y1, x0:x1]] = 0
+        parts.append(part)
+        places.append((int(x0), int(y0)))
+    o = options.indexed
+    idx, colours, clear = quantize(parts, o.most, np.array(o.palette, np.uint8) if o.palette else None, o.dither)
+    made = [(i, x, y, d) for i, (x, y), d in zip(idx, places, delays, strict=True)]
+    return codecs.encode_gif(made, colours, frames[0].shape[1::-1], options.loop, options.delay, clear, 1 if kept else 2)
+
+
+def animate(images: DataFrame, query: str, key: str = "path", options: formats.AnimationOptions = formats.AnimationOptions()) -> DataFrame:
+    """(key, width, height, frames, content, error): every animation of (key, kind, content) as a GIF by one settings string; one image at a time in memory. Damaged files have an error."""
+    kinds = images.schema[key].dataType.simpleString()
+
+    def sizes(batches):
+        for b in batches:
+            found = []
+            for kind, content in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                try:
+                    found.append(files.header(kind, content)[0][1:3])
+                except Exception:  # noqa: BLE001 - the decoder says what is wrong
+                    found.append((1, 1))
+            yield pa.record_batch([*b.columns, pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.int32())], [key, "kind", "content", "image_w", "image_h"])
+
+    def work(batches):
+        for b in batches:
+            for j in range(b.num_rows):
+                row = {n: b.column(i)[j].as_py() for i, n in enumerate(b.schema.names)}
+                try:
+                    image = codecs.DECODERS[row["kind"]](row["content"])
+                    frames = [render(px, row) for px in screens(image)]
+                    delays = [round(100 * f.duration[0] / f.duration[1]) if f.duration[0] else options.delay for f in image.frames]
+                    made = (frames[0].shape[1], frames[0].shape[0], len(frames), animation(frames, delays, options), None)
+                except Exception as e:  # noqa: BLE001 - one bad image must not end the batch
+                    made = (None, None, None, None, f"{type(e).__name__}: {e}")
+                types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string())
+                yield pa.record_batch([b.column(0).slice(j, 1), *(pa.array([v], t) for v, t in zip(made, types, strict=True))], [key, "width", "height", "frames", "content", "error"])
+
+    sized = images.select(key, "kind", "content").mapInArrow(sizes, f"{key} {kinds}, kind string, content binary, image_w int, image_h int")
+    parsed = settings.parse(sized.withColumn("query", F.lit(query)))
+    solved = settings.defaults(settings.fixup(parsed)).withColumn("format", F.lit("gif"))
+    return solved.select(key, "kind", "content", *SOLVED).mapInArrow(work, f"{key} {kinds}, width int, height int, frames int, content binary, error string")
+
+
 def run(solved: DataFrame, key: str = "path") -> DataFrame:
     """(key, format, width, height, content, error) of rows with image_w, image_h, channels, data and the solved settings. A row that fails has an error and no content; rows without data keep their error."""
     kept = [c for c in ("error", "orientation") if c in solved.columns]
@@ -266,12 +355,11 @@ def _solve(df: DataFrame) -> DataFrame:
     turned = F.col("orientation") > 4 if "orientation" in df.columns else F.lit(False)
     df = df.withColumns({"_upright_w": F.when(turned, F.col("image_h")).otherwise(F.col("image_w")), "_upright_h": F.when(turned, F.col("image_w")).otherwise(F.col("image_h"))})
     df = settings.defaults(settings.fixup(df, "_upright_w", "_upright_h")).withColumns({"mime": F.lit("image/jpeg"), "has_alpha": F.col("channels") == 4})
-    df = df.withColumn("format", settings.guess_format(df))
-    return df.withColumn("format", F.when((F.col("format") == "gif"), "png").otherwise(F.col("format")))
+    return df.withColumn("format", settings.guess_format(df))
 
 
 def batch(images: DataFrame, query: str, key: str = "path") -> DataFrame:
-    """Every image by one and the same settings string, such as ``w=150&format=jpg``: a scan and one pass, no shuffle. GIF, which needs a palette, becomes PNG."""
+    """Every image by one and the same settings string, such as ``w=150&format=jpg``: a scan and one pass, no shuffle. ``format=png8`` and ``format=gif`` are written with a palette."""
     return run(_solve(settings.parse(images.withColumn("query", F.lit(query)))), key)
 
 

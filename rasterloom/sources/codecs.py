@@ -521,7 +521,7 @@ def decode_tiff(data: bytes) -> Image:
     return Image("image/tiff", frames, frames[0].pixels.shape[1], frames[0].pixels.shape[0])
 
 
-def encode_tiff(px: np.ndarray) -> bytes:
+def encode_tiff(px: np.ndarray, orientation: int = 1) -> bytes:
     h, w = px.shape[:2]
     px = px.reshape(h, w, -1)
     ch = px.shape[2]
@@ -529,7 +529,7 @@ def encode_tiff(px: np.ndarray) -> bytes:
     depth = struct.pack("<" + "H" * ch, *[8] * ch)
     start = 8 + len(depth) + len(depth) % 2
     # for three and more channels the value of tag 258 is the offset of the depths, which is 8 too
-    tags = [(256, 4, 1, w), (257, 4, 1, h), (258, 3, ch, 8), (259, 3, 1, 1), (262, 3, 1, 1 if ch == 1 else 2), (273, 4, 1, start), (277, 3, 1, ch), (278, 4, 1, h), (279, 4, 1, len(body))]
+    tags = [(256, 4, 1, w), (257, 4, 1, h), (258, 3, ch, 8), (259, 3, 1, 1), (262, 3, 1, 1 if ch == 1 else 2), (273, 4, 1, start), (274, 3, 1, orientation), (277, 3, 1, ch), (278, 4, 1, h), (279, 4, 1, len(body))]
     entries = b"".join(struct.pack("<HHII", *t) for t in tags)
     return b"II*\0" + struct.pack("<I", start + len(body)) + depth + b"\0" * (len(depth) % 2) + body + struct.pack("<H", len(tags)) + entries + struct.pack("<I", 0)
 

@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.colour import GAMMA, PROFILES, adaptation, rgb_to_xyz
+
 #: EXIF types by number: name, struct code.
 TYPES = {1: ("byte", "B"), 2: ("ascii", "s"), 3: ("short", "H"), 4: ("long", "I"), 5: ("rational", "II"), 6: ("sbyte", "b"), 7: ("undefined", "s"), 8: ("sshort", "h"), 9: ("slong", "i"), 10: ("srational", "ii"), 11: ("float", "f"), 12: ("double", "d"), 13: ("ifd", "I"), 16: ("long8", "Q"), 17: ("slong8", "q"), 18: ("ifd8", "Q"), 129: ("utf8", "s")}
 POINTERS = {0x8769: "exif", 0x8825: "gps", 0xA005: "interop"}
@@ -175,6 +177,40 @@ def apply_curve(curve: tuple[str, list[float]], x: np.ndarray) -> np.ndarray:
     return np.where(x >= d, up() + e, c * x + f)
 
 
+def source_profile(icc: bytes | None, exif: bytes | None, gamma: int | None = None, chroma: tuple[float, ...] | None = None) -> dict | None:
+    """The profile that a file's metadata name: its own, Adobe RGB by EXIF, or one made of gamma and chromaticities; None is sRGB. Profiles of tables raise UnsupportedProfile."""
+    if icc:
+        return read_profile(icc)
+    entries = read_exif(exif) if exif else []
+    space = number([e for e in entries if e[0] == "exif"], COLOUR_SPACE, 1)
+    index = next((raw for name, tag, *_, raw in entries if name == "interop" and tag == 1), b"")
+    if space == 2 or (space == 65535 and index[:3] == b"R03"):
+        return {"space": "RGB", "matrix": PROFILES["adobergb"], "curves": [("gamma", [GAMMA["adobergb"]])] * 3}
+    if gamma or chroma:
+        matrix = PROFILES["srgb"]
+        if chroma:
+            white, *primaries = [(x / y, 1.0, (1 - x - y) / y) for x, y in zip(chroma[::2], chroma[1::2], strict=True)]
+            matrix = adaptation(white) @ rgb_to_xyz(*primaries, white)
+        curve = ("gamma", [100_000 / gamma]) if gamma else ("para3", [2.4, 1 / 1.055, 0.055 / 1.055, 1 / 12.92, 0.04045])
+        return {"space": "RGB", "matrix": matrix, "curves": [curve] * 3}
+    return None
+
+
+def to_srgb(px: np.ndarray, profile: dict | None) -> np.ndarray:
+    """Bytes (h, w, 1, 3 or 4; BGR(A)) in a matrix or grey profile as sRGB; alpha stays."""
+    if profile is None or not profile["curves"] or (profile["space"] == "GRAY") != (px.shape[2] == 1):
+        return px
+    level = np.arange(256) / 255
+    tables = [np.clip(apply_curve(c, level), 0, 1) for c in profile["curves"]]
+    if px.shape[2] == 1:
+        light = tables[0][px]
+    else:
+        light = np.stack([tables[k][px[..., 2 - k]] for k in range(3)], -1) @ (np.linalg.inv(PROFILES["srgb"]) @ profile["matrix"]).T
+    light = np.clip(light, 0, 1)
+    out = np.floor(np.where(light <= 0.04045 / 12.92, light * 12.92, 1.055 * light ** (1 / 2.4) - 0.055) * 255 + 0.5).astype(np.uint8)
+    return out if px.shape[2] == 1 else np.concatenate([out[..., ::-1], px[..., 3:]], 2)
+
+
 def target_profile(space: Column, wide: Column, mode: Column) -> Column:
     """What pixels are normalised to: grey stays grey, wide gamuts go to Display P3, the rest to sRGB; ``ignore`` and ``preserve`` change nothing."""
     return F.when(mode.isin("ignore", "preserve"), None).when(space == "GRAY", "sgrey").when(wide & (mode != "converttosrgb"), "displayp3").otherwise("srgb")
