@@ -188,8 +188,8 @@ def repeats(rows: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
 def duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, begin, end, n_words, kept_in, place): spans that stand elsewhere already.
 
-    begin and end are bytes of the UTF-8 text, n_words the words between them. Every passage of ``least_words`` words, equal
-    byte for byte from its first word to its last, counts. Its first place, by doc_id (null last), then byte, is
+    begin and end are bytes of the UTF-8 text, n_words the words between them. Every passage of ``least_words`` words, the same
+    from the first byte of its first word to the last of its last, counts; same is by key and digest, 64 bits each. Its first place, by doc_id (null last), then byte, is
     kept, and kept_in names the document of the span's first passage. A document that repeats a passage of its own, without
     overlap, is listed too. Null and shorter texts have no spans; repeated rows with one id and text count as one;
     an empty table gives no rows; other columns are left behind. A very long text goes in parts of SEGMENT bytes.
