@@ -4,7 +4,8 @@ Every passage of ``least_words`` words has a key: the least of the rolling hashe
 shorter word runs in it. A chunk is a stretch of neighbouring passages with one key, so an
 insertion moves the chunks around it and no others, and equal passages always share a key,
 in periodic text too. Under each key passages are compared by digest: the first place of a
-passage keeps it, the others give it up, and neighbouring ones join to spans.
+passage keeps it, the others give it up, and neighbouring ones join to spans. Chunks of a key
+meet in one task; the passages under a frequent key are dealt by digest and salted instead.
 
 The rolling hash is a gear hash with an odd factor, which forgets nothing, so that the hash
 of any stretch follows from two running sums. ``gear`` and ``chunk`` are the plain form in 16 bits.
@@ -48,6 +49,9 @@ def chunk(text: bytes, mean: int = MEAN) -> np.ndarray:
 WIDE = np.random.default_rng(21).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 FACTOR = 0x9E3779B97F4A7C15
 SEGMENT = 1 << 20  # bytes hashed at a time
+SHARE = 1 / 32  # of the documents, looked at for frequent keys
+FREQUENT = 64  # chunks with one key among them that are no burden yet
+NONE = np.zeros(0, np.uint64)
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
 
@@ -76,8 +80,28 @@ def passages(data: np.ndarray, s: np.ndarray, e: np.ndarray, least_words: int) -
     return key, of(least_words)
 
 
-def occurrences(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, segment: int = SEGMENT) -> DataFrame:
-    """(key, doc_id, place, begin, end, word, width, digests, begins, ends): a row for each chunk. begin, end: bytes of its first passage; word: words
+def _segments(text, least_words: int, segment: int):
+    """(at, key, digest, begin, end) of the passages of a text in parts of ``segment`` bytes; at: words before the part, begin and end: bytes of each passage."""
+    data = np.frombuffer(text.as_buffer() if text.is_valid else b"", np.uint8)
+    edge = np.flatnonzero(np.diff(~_BLANK[data], prepend=False, append=False))
+    starts, stops = edge[::2], edge[1::2]
+    at = 0
+    while at + least_words <= len(starts):  # passages that begin at words from at to upto
+        upto = max(at + 1, int(np.searchsorted(starts, starts[at] + segment)))
+        last = min(upto + least_words - 1, len(starts))
+        base = starts[at]
+        s, e = starts[at:last], stops[at:last]
+        key, digest = passages(data[base : e[-1]], s - base, e - base, least_words)
+        yield at, key, digest, s[: len(key)], e[least_words - 1 :]
+        at = upto
+
+
+def _texts(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, str]:
+    return docs.select(column(id_col).alias("doc_id"), F.xxhash64(column(text)).alias("place"), column(text).cast("binary").alias("text")), docs.schema[id_col].dataType.simpleString()
+
+
+def occurrences(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, segment: int = SEGMENT, leave: np.ndarray = NONE) -> DataFrame:
+    """(key, doc_id, place, begin, end, word, width, digests, begins, ends): a row for each chunk whose key isn't one of ``leave``. begin, end: bytes of its first passage; word: words
     before it; digests: of each of its passages, 8 bytes; begins, ends: how far each passage's moved on, ``width`` bytes; place tells rows of one id apart."""
 
     def run(batches):
@@ -88,30 +112,22 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lea
                 blobs: list[list] = [[], [], []]
                 sizes: list[list] = [[], []]
                 for j, x in enumerate(part.column(2)):
-                    data = np.frombuffer(x.as_buffer() if x.is_valid else b"", np.uint8)
-                    edge = np.flatnonzero(np.diff(~_BLANK[data], prepend=False, append=False))
-                    starts, stops = edge[::2], edge[1::2]
-                    at = 0
-                    while at + least_words <= len(starts):  # passages that begin at words from at to upto
-                        upto = max(at + 1, int(np.searchsorted(starts, starts[at] + segment)))
-                        last = min(upto + least_words - 1, len(starts))
-                        base = starts[at]
-                        s, e = starts[at:last], stops[at:last]
-                        key, digest = passages(data[base : e[-1]], s - base, e - base, least_words)
+                    for at, key, digest, begin, end in _segments(x, least_words, segment):
                         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-                        n = len(key)
-                        begin, end = s[:n], e[least_words - 1 :]
+                        held = np.diff(np.r_[first, len(key)])
                         moved = np.diff(begin, prepend=begin[0]), np.diff(end, prepend=end[0])
                         width = 1 if max(m.max() for m in moved) < 256 else 4
+                        if len(leave):
+                            stay = ~np.isin(key[first], leave)
+                            each = np.repeat(stay, held)
+                            first, held, digest, moved = first[stay], held[stay], digest[each], tuple(m[each] for m in moved)
                         for c, v in zip(rows, (np.full(len(first), j), key[first].view(np.int64), begin[first], end[first], at + first, np.full(len(first), width)), strict=True):
                             c.append(v)
                         blobs[0].append(digest.view(np.uint8))
                         for c, v in zip(blobs[1:], moved, strict=True):
                             c.append(v.astype(f"u{width}").view(np.uint8))
-                        held = np.diff(np.r_[first, n])
                         sizes[0].append(held * 8)
                         sizes[1].append(held * width)
-                        at = upto
                 if rows[0]:
                     j, key, begin, end, word, width = (np.concatenate(c) for c in rows)
                     offsets = [np.r_[0, np.cumsum(np.concatenate(c))].astype(np.int32) for c in sizes]
@@ -119,8 +135,53 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lea
                     take = pa.array(j)
                     yield pa.record_batch([pa.array(key), part.column(0).take(take), part.column(1).take(take), *(pa.array(v.astype(np.int32)) for v in (begin, end, word, width)), *packed], ["key", "doc_id", "place", "begin", "end", "word", "width", "digests", "begins", "ends"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(column(id_col).alias("doc_id"), F.xxhash64(column(text)).alias("place"), column(text).cast("binary").alias("text")).mapInArrow(run, f"key long, doc_id {kind}, place long, begin int, end int, word int, width int, digests binary, begins binary, ends binary")
+    texts, kind = _texts(docs, id_col, text)
+    return texts.mapInArrow(run, f"key long, doc_id {kind}, place long, begin int, end int, word int, width int, digests binary, begins binary, ends binary")
+
+
+def frequent(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, share: float = SHARE, rows: int = FREQUENT) -> np.ndarray:
+    """Keys that would make a task long: in a random ``share`` of the documents more than ``rows`` chunks have them, and more than a quarter of what one
+    shuffle partition holds on average, so there are at most four for each partition. It only decides how a key's passages meet; every passage of every document meets either way."""
+    counts = cut(occurrences(docs.sample(share, seed=1), id_col, text, least_words).groupBy("key").count())
+    least = (counts.agg(F.sum("count")).first()[0] or 0) / _limit(docs)
+    got = counts.where(F.col("count") > F.lit(max(rows, least))).select("key").collect()
+    return np.array([r.key for r in got], np.int64).view(np.uint64)
+
+
+def _limit(docs: DataFrame) -> int:
+    return 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def frequent_repeats(docs: DataFrame, keys: np.ndarray, id_col: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, most: int = 4096) -> DataFrame:
+    """What ``repeats`` returns, a row for each passage, of the passages under ``keys``, a bounded number of keys.
+
+    Each passage is a row of its own here. The first place of each is a minimum, combined before the shuffle, and goes back to the
+    passage's places by a join, in as many salted copies as keep each at ``most`` places, or at a quarter of a partition's mean share if that is more.
+    """
+
+    def run(batches):
+        for b in batches:
+            for j, x in enumerate(b.column(2)):
+                for at, key, digest, begin, end in _segments(x, least_words, SEGMENT):
+                    i = np.flatnonzero(np.isin(key, keys))
+                    if len(i):
+                        take = pa.array(np.full(len(i), j))
+                        yield pa.record_batch([b.column(0).take(take), b.column(1).take(take), *(pa.array(v[i].view(np.int64)) for v in (key, digest)), *(pa.array(v.astype(np.int32)) for v in (begin[i], end[i], at + i))], names)
+
+    texts, kind = _texts(docs, id_col, text)
+    names = ["doc_id", "place", "key", "digest", "begin", "end", "word"]
+    found = texts.mapInArrow(run, f"doc_id {kind}, place long, key long, digest long, begin int, end int, word int")
+    passage = ["key", "digest"]
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place", "word")).alias("first")
+    firsts = cut(found.groupBy(*passage).agg(first, F.count("*").alias("n")).where("n > 1"))
+    most = max(most, (firsts.agg(F.sum("n")).first()[0] or 0) // _limit(docs))
+    firsts = firsts.withColumn("salts", F.ceil(F.col("n") / most).cast("int"))
+    salted = firsts.where("salts > 1").select(*passage, "salts")  # at most _limit rows
+    dealt = found.join(F.broadcast(salted), passage, "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", "place", "word"), F.coalesce("salts", F.lit(1))).cast("int"))
+    copies = firsts.select(*passage, "first", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & F.col("place").eqNullSafe(F.col("first.place"))
+    later = dealt.join(copies, [*passage, "salt"]).where(~(own & (F.col("word") < F.col("first.word") + least_words)))
+    return later.select("doc_id", "place", "begin", "end", F.col("word").alias("w0"), (F.col("word") + least_words).cast("int").alias("w1"), F.col("first.doc_id").alias("kept_in"))
 
 
 def _repeated(digests: bytes, doc: tuple, word: int, seen: dict, least_words: int) -> list[tuple[int, int, object]]:
@@ -185,7 +246,7 @@ def repeats(rows: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     return dealt.drop("none").mapInArrow(run, f"doc_id {kind}, place long, begin int, end int, w0 int, w1 int, kept_in {kind}")
 
 
-def duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+def duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, share: float = SHARE, rows: int = FREQUENT) -> DataFrame:
     """(doc_id, begin, end, n_words, kept_in, place): spans that stand elsewhere already.
 
     begin and end are bytes of the UTF-8 text, n_words the words between them. Every passage of ``least_words`` words, the same
@@ -193,8 +254,12 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", leas
     kept, and kept_in names the document of the span's first passage. A document that repeats a passage of its own, without
     overlap, is listed too. Null and shorter texts have no spans; repeated rows with one id and text count as one;
     an empty table gives no rows; other columns are left behind. A very long text goes in parts of SEGMENT bytes.
+    Passages under frequent keys (``share``, ``rows``: see ``frequent``) are split over tasks; the result is the same.
     """
-    later = repeats(occurrences(docs, id_col, text, least_words), least_words)
+    keys = frequent(docs, id_col, text, least_words, share, rows)
+    later = repeats(occurrences(docs, id_col, text, least_words, leave=keys), least_words)
+    if len(keys):
+        later = later.unionByName(frequent_repeats(docs, keys, id_col, text, least_words))
     w = Window.partitionBy("doc_id", "place").orderBy("begin", "end")
     far = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     later = later.withColumn("new", F.when(far.isNull() | (F.col("begin") > far), 1).otherwise(0)).withColumn("run", F.sum("new").over(w))

@@ -454,6 +454,32 @@ def test_substring_dedup_periodic(spark):
     assert places(chunks.repeats(chunks.occurrences(df, segment=100))) == places(chunks.repeats(chunks.occurrences(df)))  # long texts go in parts
 
 
+def test_substring_dedup_frequent_keys(spark, none, monkeypatch):
+    rng = random.Random(16)
+    some = lambda n: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(1, 9))) for _ in range(n))
+    copy, line = some(90), some(25)
+    table = [(i, copy) for i in range(40)] + [(100 + i, f"{some(20 + i)} {line} {some(40)}") for i in range(40)] + [(200, "so " * 200), (201, "so " * 150), (202, None), (None, copy), (203, copy + " " + some(30) + " " + copy), (0, copy)]
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    want = key(brute.repeated_passages(table, 51))
+    spans = lambda **more: rows(chunks.duplicates(df, **more).select("doc_id", "begin", "end", "n_words", "kept_in"))
+    chunk_rows = chunks.occurrences(df)
+    found = chunks.frequent(df, share=1.0, rows=20)
+    counts = {r.key & (2**64 - 1): r["count"] for r in chunk_rows.groupBy("key").count().collect()}
+    least = max(20, sum(counts.values()) / 32)
+    assert set(found.tolist()) == {k for k, n in counts.items() if n > least} and 0 < len(found) <= 32
+    assert spans() == want == spans(share=1.0, rows=20)
+    all_keys = np.array(sorted(counts), np.uint64)
+    assert chunks.occurrences(df, leave=all_keys).count() == 0 == chunks.frequent_repeats(none, all_keys).count()
+    assert len(chunks.frequent(none)) == 0
+    places = lambda found: {(r.doc_id, r.place, r.kept_in, i) for r in found.collect() for i in range(r.w0, r.w1 - 50)}
+    whole = lambda found: {x[:2] + x[3:] for x in found}
+    plain, split = places(chunks.repeats(chunk_rows)), places(chunks.frequent_repeats(df, all_keys, most=3))
+    assert whole(plain) == whole(split)
+    for part in (all_keys, all_keys[::2]):
+        monkeypatch.setattr(chunks, "frequent", lambda *a, part=part: part)
+        assert spans() == want
+
+
 def test_substring_dedup_lengths(spark):
     rng = random.Random(9)
     some = lambda n: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(3, 9))) for _ in range(n))
