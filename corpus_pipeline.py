@@ -12,26 +12,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm import decontaminate, mixing, pii, quality, simhash
-from rasterloom.llm.common import remove_folder, table, use_checkpoints
+from rasterloom.llm.common import remove_folder, small_batches, table, use_checkpoints
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go; those that tie with its threshold stay. A null text is judged as an empty one, and repeated rows alike. Without labels every score is 0.5 and all go."""
+    small_batches(spark)
     return quality.accepted(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document of the smallest id stays, once if it is repeated; of a group without ids one stays. Null, empty and blank texts are one group."""
+    small_batches(spark)
     return simhash.one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark passages go; null and empty texts hold none, and an empty benchmark lets all stay."""
+    small_batches(spark)
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data gives way to the names of its kinds; n_chars follows the text. All rows stay; a null text stays null, as its n_chars."""
+    small_batches(spark)
     return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 

@@ -51,6 +51,13 @@ def slices(texts: list, budget: int = 1 << 21) -> Iterator[tuple[int, int]]:
         yield lo, len(texts)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Have this session hand Python ``rows`` rows at a time, unless its owner chose a number: whole documents are wide, and a batch is held on both sides."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(setting) == "10000":  # Spark's default
+        spark.conf.set(setting, str(rows))
+
+
 def column(name: str) -> Column:
     """The column of that very name, dots and backticks included."""
     return F.col("`" + name.replace("`", "``") + "`")
