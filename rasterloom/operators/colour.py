@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.colour import GAMMA, MATRICES, PROFILES, REC601, REC709, from_linear, to_byte, to_linear
+from ..functions.colour import GAMMA, MATRICES, PROFILES, PUBLISHED, REC601, REC709, from_linear, to_byte, to_linear
 from ..functions.numbers import clamp
 
 #: (offset, scale) of bytes.
@@ -106,12 +106,12 @@ def blend_linear(both: DataFrame) -> DataFrame:
 
 
 def convert_profile(px: DataFrame, source: str, target: str) -> DataFrame:
-    """Between matrix profiles: linearise, one 3x3 matrix, compress again. Equal profiles cost nothing."""
+    """Between matrix profiles: linearise, one 3x3 matrix (the published one, where there is one), compress again. Equal profiles cost nothing."""
     if source == target:
         return px
     import numpy as np
 
-    m = np.linalg.inv(PROFILES[target]) @ PROFILES[source]
+    m = np.array(PUBLISHED[source, target]) if (source, target) in PUBLISHED else np.linalg.inv(PROFILES[target]) @ PROFILES[source]
     open_ = lambda v: F.pow(v, F.lit(GAMMA[source])) if source in GAMMA else to_linear(v)
     close = lambda v: F.pow(v, F.lit(1 / GAMMA[target])) if target in GAMMA else from_linear(v)
     lin = {c: open_(F.col(c) / 255) for c in "rgb"}
