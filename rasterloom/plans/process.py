@@ -144,12 +144,12 @@ def decoded(images: DataFrame, key: str = "path") -> DataFrame:
 
 @lru_cache(64)
 def _kernel(isize: int, osize: int, name: str) -> np.ndarray:
-    return matrix(weights(isize, osize, PRESETS[name]), osize, isize).astype(np.float32)
+    return matrix(weights(isize, osize, PRESETS[name]), osize, isize)
 
 
 @lru_cache(64)
 def _soft(size: int, radius: float) -> np.ndarray:
-    return matrix(blur_weights(size, radius), size, size).astype(np.float32)
+    return matrix(blur_weights(size, radius), size, size)
 
 
 def halve(px: np.ndarray) -> np.ndarray:
@@ -166,7 +166,9 @@ def _axes(x: np.ndarray, my: np.ndarray | None, mx: np.ndarray | None) -> np.nda
     return x if mx is None else np.matmul(mx, x)
 
 
-_LINEAR = np.where(np.arange(256) <= 0.04045 * 255, np.arange(256) / 255 / 12.92, ((np.arange(256) / 255 + 0.055) / 1.055) ** 2.4).astype(np.float32)
+_LINEAR = np.where(np.arange(256) <= 0.04045 * 255, np.arange(256) / 255 / 12.92, ((np.arange(256) / 255 + 0.055) / 1.055) ** 2.4)
+#: Columns that are doubles at a time while an image is scaled down its rows.
+STRIP = 256
 
 
 def _companded(x: np.ndarray) -> np.ndarray:
@@ -178,6 +180,12 @@ def _bytes(x: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(x + 0.5), 0, 255).astype(np.uint8)
 
 
+def _weighted(px: np.ndarray, linear: bool) -> np.ndarray:
+    """Bytes as doubles, 0 to 255 (colours in linear light 0 to 1), times alpha where there is one: single precision and parts of 255 would move halves."""
+    x = _LINEAR[px[..., :3]] if linear else px[..., :3].astype(np.float64)
+    return np.concatenate([x * px[..., 3:], px[..., 3:]], 2) if px.shape[2] == 4 else x
+
+
 def scale(px: np.ndarray, width: int, height: int, name: str = "catmullrom", halvings: int = 1, linear: bool = False) -> np.ndarray:
     """Bytes to bytes. Halved first while ``halvings`` says so; colours are weighted by alpha, and scaled in linear light if asked."""
     if (px.shape[1], px.shape[0]) == (width, height):
@@ -185,23 +193,21 @@ def scale(px: np.ndarray, width: int, height: int, name: str = "catmullrom", hal
     while halvings > 1:
         px, halvings = halve(px), halvings // 2
     h, w, ch = px.shape
-    x = _LINEAR[px[..., :3]] if linear else px[..., :3].astype(np.float32) / 255
-    if ch == 4:
-        a = px[..., 3:].astype(np.float32) / 255
-        x = np.concatenate([x * a, a], 2)
-    x = _axes(x, _kernel(h, height, name) if h != height else None, _kernel(w, width, name) if w != width else None)
+    my, mx = _kernel(h, height, name) if h != height else None, _kernel(w, width, name) if w != width else None
+    x = np.concatenate([_axes(_weighted(px[:, i : i + STRIP], linear), my, None) for i in range(0, w, STRIP)], 1)
+    x = _axes(x, None, mx)
     if ch == 4:
-        a = np.clip(x[..., 3:], 0, 1)
-        x = np.concatenate([np.where(a > 1 / 512, x[..., :3] / np.maximum(a, 1 / 512), 0), a], 2)
+        a = np.clip(x[..., 3:], 0, 255)
+        x = np.concatenate([np.where(a > 255 / 512, x[..., :3] / np.maximum(a, 255 / 512), 0), a], 2)
     if linear:
-        x[..., :3] = _companded(x[..., :3])
-    return _bytes(x * 255)
+        x[..., :3] = _companded(x[..., :3]) * 255
+    return _bytes(x)
 
 
 def sharpen(px: np.ndarray, amount: float, radius: float, threshold: float = 0) -> np.ndarray:
     """Luma minus blurred luma, times amount %, added to every colour channel where it is over the threshold."""
-    x = px.astype(np.float32)
-    luma = x[..., :1] if px.shape[2] == 1 else (x[..., :3] @ np.array(LUMA, np.float32))[..., None]
+    x = px.astype(np.float64)
+    luma = x[..., :1] if px.shape[2] == 1 else (x[..., :3] @ np.array(LUMA))[..., None]
     dif = luma - _axes(luma, _soft(px.shape[0], radius), _soft(px.shape[1], radius))
     gain = np.where(np.abs(dif) > threshold, dif, 0) * (amount / 100) if threshold else dif * (amount / 100)
     return np.concatenate([_bytes(x[..., :3] + gain), px[..., 3:]], 2)
@@ -221,7 +227,7 @@ def render(px: np.ndarray, s: dict) -> np.ndarray:
         px = np.pad(px, ((pad_h // 2, pad_h - pad_h // 2), (pad_w // 2, pad_w - pad_w // 2), (0, 0)))
     if px.shape[2] == 4 and (matte is not None or s["format"] == "jpeg"):  # JPEG has no alpha: black stands behind it unless a colour is named
         m = matte if matte is not None else 0xFF000000
-        a = px[..., 3:].astype(np.float32) / 255
+        a = px[..., 3:] / 255
         over = _LINEAR[px[..., :3]] * a + _LINEAR[[m & 255, m >> 8 & 255, m >> 16 & 255]] * (1 - a)
         px = _bytes(_companded(over) * 255)
     return px
